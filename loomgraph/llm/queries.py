@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, minhash, token_counts
+from loomgraph.llm import bpe, minhash, mixing, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(spark, _read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -32,9 +37,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.plan_sql(),
+}
