@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, minhash, mixing, token_counts
+from loomgraph.llm import bpe, importance, minhash, mixing, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -36,11 +36,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
+    "op10_importance": op10_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
