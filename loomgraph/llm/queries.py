@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, importance, minhash, mixing, token_counts
+from loomgraph.llm import bpe, hostrules, importance, langid, minhash, mixing, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -36,6 +36,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op7_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(spark, _read(spark, sf_dir, "documents"))
+
+
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -45,9 +53,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
+    "op6_langid": op6_langid,
+    "op7_hostrules": op7_hostrules,
     "op10_importance": op10_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.plan_sql(),
+    "op7_hostrules": hostrules.SQL,
 }
