@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, hostrules, importance, langid, minhash, mixing, token_counts
+from loomgraph.llm import bpe, hostrules, importance, langid, linededup, minhash, mixing, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -44,6 +44,10 @@ def op7_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(spark, _read(spark, sf_dir, "documents"))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(spark, _read(spark, sf_dir, "documents"))
+
+
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_langid": op6_langid,
     "op7_hostrules": op7_hostrules,
+    "op8_linededup": op8_linededup,
     "op10_importance": op10_importance,
 }
 
