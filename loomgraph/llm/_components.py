@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._scratch import Scratch
 
+_JUMPS = 2
+
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """Map each node of ``edges`` (a, b: long) to one node of its component: (node, comp).
 
-    Each round every node joins the neighbour, or itself, of the least hash; the
-    nodes that were joined are the next graph. A fresh hash each round shrinks
-    chains as fast as stars, so the rounds grow with the logarithm of the graph.
+    Each round every node joins the neighbour, or itself, of the least hash, and then
+    what that one joined; the nodes that were joined are the next graph. A fresh hash
+    each round shrinks chains as fast as stars, so the rounds grow with the logarithm
+    of the graph.
     Aggregation is by partial minimum, so a hub's links are never gathered. None
     if there are no edges.
     """
@@ -24,6 +27,10 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
         ways = now.select(F.col("a").alias("v"), rank("b").alias("u")).union(now.select(F.col("b").alias("v"), rank("a").alias("u")))
         least = ways.groupBy("v").agg(F.min("u").alias("u"))
         step = scratch.save(least.select("v", F.least(rank("v"), F.col("u"))["x"].alias("to")), "step")
+        for _ in range(_JUMPS):
+            on = step.select(F.col("v").alias("to"), F.col("to").alias("on"))
+            step = step.join(on, "to").select("v", F.col("on").alias("to"))
+        step = scratch.save(step, "jumped")
         if mapping is None:
             mapping = step.select(F.col("v").alias("node"), F.col("to").alias("comp"))
         else:

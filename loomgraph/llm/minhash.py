@@ -6,10 +6,17 @@ minima, or of four maxima, from different permutations are bucket keys: two
 documents of similarity 0.75 miss all 40 bands with a chance below 1e-6.
 
 Documents with equal shingle sets form a class, and classes are linked. A bucket
-doesn't emit its pairs. In rounds, a growing number of pivots of each bucket is
-compared with the members that are not yet in the pivot's component; buckets
-within one component are done. Groups of copies so cost a comparison for each
-member, and buckets that hold different documents are still compared in full.
+doesn't emit its pairs. In rounds, a pivot of each bucket is compared with the
+members that are not yet in the pivot's component; buckets within one component are
+done, so a group of copies costs a comparison for each member.
+
+Buckets that are still mixed after two rounds hold documents that share a passage
+and little else. Their documents are dealt anew by an exact rule: sorted from rare
+to common shingles, two documents of similarity 0.75 share one of the first
+n - ceil(0.75 n) + 1 of the larger and the first n - ceil(6/7 n) + 1 of the
+smaller (there the pivots are). The order needs to be one for all but not exact, so
+rareness is read from a table of counters of fixed size. The rounds go on over
+these buckets, with more pivots each time, until all are done; nothing is capped.
 Links are confirmed on the full shingle sets.
 
 Defined results: null or empty texts and texts without words have no shingles
@@ -28,6 +35,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm import _textvec as tv
 from loomgraph.llm._components import components
+from loomgraph.llm._counts import summed
 from loomgraph.llm._scratch import Scratch, ship
 
 _ROWS = 4
@@ -35,6 +43,9 @@ _PERMUTATIONS = 80
 _FLIP = tv.stream(_PERMUTATIONS, 11)
 _TIMES = tv.stream(_PERMUTATIONS, 12) | np.uint64(1)
 _SALT = tv.stream(2 * _PERMUTATIONS // _ROWS, 13)
+#: Rounds over the buckets of the bands, before the rest is dealt anew.
+_BAND_ROUNDS = 2
+_COUNTERS = 1 << 18
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
 _BROADCAST_KEYS = 1_000_000
 
@@ -131,7 +142,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     grouped = signed.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
     classes = scratch.save(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    each = classes.select("cid", "n", F.explode("bands").alias("bucket"))
+    each = classes.select("cid", "n", F.explode("bands").alias("bucket"), F.lit(0).alias("pos"), F.lit(True).alias("short"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
     members = scratch.save(each.join(shared, "bucket"), "members")
     linked = None
@@ -158,7 +169,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
 
 
 def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Components of classes (node, comp), from buckets (bucket, cid, n) and full sets (cid, items)."""
+    """Components of classes (node, comp), from buckets (bucket, cid, n, pos, short) and full sets (cid, items).
+
+    A pair is asked for if, at the overlap its sizes need, the bucket's shingle is early enough (``pos``) in both.
+    ``short`` marks where that can be so for the smaller of two.
+    """
     comp, pivots_wanted, turn, asked = None, 1, 0, []
     while True:
         if comp is None:
@@ -166,15 +181,21 @@ def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
         else:
             placed = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         placed = scratch.save(placed, "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).filter("lo < hi AND any").select("bucket")
         live = scratch.save(placed.join(mixed, "bucket", "left_semi"), "live")
         if live.isEmpty():
             return comp
+        if turn == _BAND_ROUNDS:
+            left = live.select("cid").distinct()
+            members, turn = scratch.save(_rare_buckets(sets.join(left, "cid", "left_semi"), percent), "rare"), turn + 1
+            continue
         part = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(pivots_wanted))
-        chosen = live.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("cid", "n", "comp")).alias("p"))
-        pivots = scratch.save(chosen.select("bucket", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")), "pivots")
+        chosen = live.filter("short").groupBy("bucket", part.alias("part")).agg(F.min(F.struct("n", "cid", "comp", "pos")).alias("p"))
+        pivots = scratch.save(chosen.select("bucket", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"), F.col("p.pos").alias("ppos")), "pivots")
         close = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-        met = live.join(pivots, "bucket").filter((F.col("comp") != F.col("pcomp")) & close)
+        least = F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent))
+        early = (F.col("pos") <= F.col("n") - least) & (F.col("ppos") <= F.col("pn") - least)
+        met = live.join(pivots, "bucket").filter((F.col("comp") != F.col("pcomp")) & close & early)
         pairs = met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         for earlier in asked:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
@@ -185,8 +206,40 @@ def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
             both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
             links = both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
             comp = _merge(scratch, comp, scratch.save(links, "links"))
-        members = scratch.save(live.select("bucket", "cid", "n").join(pivots.select("bucket", F.col("pivot").alias("cid")), ["bucket", "cid"], "left_anti"), "members")
-        pivots_wanted, turn = pivots_wanted * 4, turn + 1
+        members = scratch.save(live.select("bucket", "cid", "n", "pos", "short").join(pivots.select("bucket", F.col("pivot").alias("cid")), ["bucket", "cid"], "left_anti"), "members")
+        pivots_wanted, turn = pivots_wanted * 4 if turn > _BAND_ROUNDS else 1, turn + 1
+
+
+def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets (bucket, cid, n, pos, short): each set's rarest shingles, as many as a link to any set needs, and their places."""
+    shift = np.uint64(64 - 18)
+    slot = lambda items: (items.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) >> shift).astype(np.int64)
+
+    def count(batch: pa.RecordBatch, counters: np.ndarray) -> None:
+        items = batch.column(1).flatten().to_numpy()
+        counters += np.bincount(slot(items), minlength=_COUNTERS)
+
+    common = sets.sparkSession.sparkContext.broadcast(summed(sets.select("cid", "items"), _COUNTERS, count).astype(np.int32))
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("short", T.BooleanType())])
+
+    def run(batches):
+        often = common.value
+        for b in batches:
+            cids, buckets, short = b.column(0).to_numpy(), [], []
+            for items in b.column(1):
+                x = items.values.to_numpy()
+                wanted = len(x) - -(-len(x) * percent // 100) + 1
+                buckets.append(x[np.lexsort((x, often[slot(x)]))[:wanted]])
+                # the larger set is no smaller: the overlap is 2t / (1 + t) of this one at least
+                short.append(np.arange(len(buckets[-1])) < len(x) - -(-2 * percent * len(x) // (100 + percent)) + 1)
+            wide = np.array([len(x) for x in buckets], np.int64)
+            size = np.array([len(x.values) for x in b.column(1)], np.int64)
+            place = np.concatenate([*map(np.arange, wide), np.zeros(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)])), pa.array(np.repeat(cids, wide)), pa.array(np.repeat(size, wide)), pa.array(place), pa.array(np.concatenate([*short, np.zeros(0, bool)]))], names=schema.names)
+
+    each = sets.select("cid", "items").mapInArrow(run, schema)
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("short").alias("any")).filter("m > 1 AND any").select("bucket")
+    return each.join(shared, "bucket")
 
 
 def _merge(scratch: Scratch, comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
