@@ -70,7 +70,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def row_slices(offsets: np.ndarray, size: int = 2 * _SEGMENT) -> Iterator[tuple[int, int]]:
+def row_slices(offsets: np.ndarray, size: int = _SEGMENT >> 1) -> Iterator[tuple[int, int]]:
     """Cut rows into runs of about ``size`` bytes; a longer row stands alone."""
     at, n = 0, len(offsets) - 1
     while at < n:

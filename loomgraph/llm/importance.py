@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import _textvec as tv
+from loomgraph.llm._counts import summed
 from loomgraph.llm._ordered_cut import ordered_cut
 from loomgraph.llm._scratch import Scratch, ship
 from loomgraph.llm.mixing import uniform
@@ -84,28 +85,17 @@ def models(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "t
     :param good: column ``key``, distinct: the keys of target documents, few enough to be broadcast.
     """
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("target", T.ArrayType(T.LongType())), T.StructField("raw", T.ArrayType(T.LongType()))])
 
-    def run(batches):
-        raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
-        for b in batches:
-            marked = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, (found, offsets) in _slices(b.column(0)):
-                raw += np.bincount(found + 1, minlength=BUCKETS + 1)
-                mask = np.repeat(marked[lo:hi], np.diff(offsets))
-                target += np.bincount(found[mask] + 1, minlength=BUCKETS + 1)
-        width = 256
-        cut = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS + 1, width), pa.int32()), pa.array(x[1:]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS // width), pa.int32()), cut(target), cut(raw)], names=schema.names)
+    def count(batch: pa.RecordBatch, counters: np.ndarray) -> None:
+        marked = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi, (found, offsets) in _slices(batch.column(0)):
+            counters[:BUCKETS] += np.bincount(found + 1, minlength=BUCKETS + 1)[1:]
+            mask = np.repeat(marked[lo:hi], np.diff(offsets))
+            counters[BUCKETS:] += np.bincount(found[mask] + 1, minlength=BUCKETS + 1)[1:]
 
     marks = F.broadcast(good.select(F.col(key).alias("_good"), F.lit(True).alias("_is")))  # bounded by the caller
     marked = docs.join(marks, docs[key] == marks["_good"], "left").select(F.col(text), F.coalesce("_is", F.lit(False)).alias("good"))
-    parts = marked.mapInArrow(run, schema)
-    sums = parts.groupBy("part").agg(*(F.array(*(F.sum(F.col(c)[i]) for i in range(256))).alias(c) for c in ("target", "raw")))
-    rows = sorted(sums.collect())  # the size of the models, whatever the input
-    if not rows:
-        return np.zeros(BUCKETS)
-    target, raw = (np.concatenate([r[i] for r in rows]).astype(float) for i in (1, 2))
+    raw, target = summed(marked, 2 * BUCKETS, count).astype(float).reshape(2, BUCKETS)
     if not target.sum():
         return np.zeros(BUCKETS)
     chance = lambda x: np.log((x + smooth) / (x.sum() + smooth * BUCKETS))
