@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, hostrules, importance, langid, linededup, minhash, mixing, token_counts
+from loomgraph.llm import bpe, flatgraph, hostrules, importance, langid, linededup, minhash, mixing, token_counts
 
 
 def _tokenizer(name: str) -> str:
@@ -48,6 +48,10 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(spark, _read(spark, sf_dir, "documents"))
 
 
+def op9_flatgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(spark, _read(spark, sf_dir, "embeddings"))
+
+
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_langid": op6_langid,
     "op7_hostrules": op7_hostrules,
     "op8_linededup": op8_linededup,
+    "op9_flatgraph": op9_flatgraph,
     "op10_importance": op10_importance,
 }
 
