@@ -15,8 +15,10 @@ extra columns pass through unchanged; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +34,19 @@ from loomgraph.llm._scratch import ship
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(f"[^{_SPACE}]+")
 _ONLY_PYTHON_SPACE = regex.compile("[\x1c-\x1f]")
-_CACHE_CHUNKS = 400_000
+_CACHE_CHUNKS = 200_000
+_CACHE_WORDS = 300_000
 _CACHE_CHUNK_CHARS = 64
+_RUN = 1 << 23
+_NEVER = 1 << 62
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton over sequences of symbols.
 
-    ``walk`` yields, after each symbol read, the pairs (length, token) of all
-    stored tokens that are suffixes of what was read, longest first.
+    After reading a text the automaton is in the state of the longest suffix that
+    occurs in a token, of size n; the tokens that are suffixes of the text are the
+    pairs (length, token) of ``found`` of that state with length <= n, longest first.
     """
 
     def __init__(self, tokens: dict[str, int]):
@@ -59,11 +65,12 @@ class SuffixAutomaton:
             self.ends[state].append((len(text), token))
         for found in self.ends:
             found.sort(reverse=True)
-        # up[s]: the nearest state on the suffix path of s that holds tokens
-        self.up = [0] * len(self.next)
+        # found[s]: tokens that are suffixes of the longest string of state s, longest first
+        self.found: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            above = self.link[state]
-            self.up[state] = above if above <= 0 or self.ends[above] else self.up[above]
+            above = self.found[self.link[state]]
+            self.found[state] = (*self.ends[state], *above) if self.ends[state] else above
+        del self.ends
 
     def _extend(self, last: int, symbol: str) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -95,26 +102,6 @@ class SuffixAutomaton:
             p = link[p]
         return twin
 
-    def walk(self, symbols) -> Iterator[list[tuple[int, int]]]:
-        nxt, link, length, ends, up = self.next, self.link, self.length, self.ends, self.up
-        state = size = 0
-        for symbol in symbols:
-            while state and symbol not in nxt[state]:
-                state = link[state]
-                size = length[state]
-            to = nxt[state].get(symbol)
-            if to is None:
-                state = size = 0
-                yield []
-                continue
-            state, size = to, size + 1
-            found = [x for x in ends[state] if x[0] <= size]
-            at = up[state]
-            while at > 0:
-                found += ends[at]
-                at = up[at]
-            yield found
-
 
 class PrefixBpe:
     """Exact encoder and decoder for a ``tokenizers`` BPE file with a word-end suffix.
@@ -139,13 +126,14 @@ class PrefixBpe:
         self.names |= {i: t for t, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = _byte_alphabet()
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.halves: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         for n, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, made = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.rank[left, right] = n
+            self.rank[left << 32 | right] = n
             if made in self.halves:
                 raise ValueError(f"token {a + b!r} is made by two merges")
             self.halves[made] = (left, right)
@@ -156,8 +144,10 @@ class PrefixBpe:
         end = "\0"  # stands for the word-end suffix: no byte is mapped to it
         self.end = end
         self.automaton = SuffixAutomaton({(t.removesuffix(self.suffix) + end if self.suffix and t.endswith(self.suffix) and t != self.suffix else t): i for t, i in reachable.items()})
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[bytes, str, int]] = {}
+        self.fits: dict[int, bool] = {}
+        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cooling: dict[str, tuple[bytes, str]] = {}
+        self.word_cache: dict[str, tuple[bytes, str]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint text of two tokens gives the two tokens back.
@@ -169,100 +159,178 @@ class PrefixBpe:
         alive when its turn comes. Of two merges with one rank the one further
         left comes first.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.fits.get(key)) is not None:
             return known
         ours, theirs = self._spine(left, 1), self._spine(right, 0)
-        fits = True
-        for a, a_dies in ours:
-            for b, b_dies in theirs:
-                turn = self.rank.get((a, b))
-                if turn is not None and turn < a_dies and turn <= b_dies:
-                    fits = False
-                    break
-            if not fits:
+        fits, i, j, rank = True, 0, 0, self.rank
+        while True:  # over the times at which one token of each spine is alive
+            (a, a_dies), (b, b_dies) = ours[i], theirs[j]
+            turn = rank.get(a << 32 | b)
+            if turn is not None and turn < a_dies and turn <= b_dies:
+                fits = False
                 break
+            if a_dies <= b_dies:
+                if a_dies == _NEVER:
+                    break
+                i += 1
+            else:
+                j += 1
         if len(self.fits) > 2_000_000:
             self.fits.clear()
         self.fits[key] = fits
         return fits
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
-        out, dies = [], float("inf")
-        while True:
-            out.append((token, dies))
-            if token not in self.halves:
-                return out
-            dies = self.born[token]
-            token = self.halves[token][side]
-
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token, given as mapped bytes."""
-        symbols = word + self.end
-        last: list[int] = [-1]
-        width: list[int] = [0]
-        mark = len(word)
-        for at, found in enumerate(self.automaton.walk(symbols), 1):
-            chosen = size = -1
-            if at != mark:  # the last byte and the word end are one symbol
-                for length, token in found:
-                    start = at - length
-                    if start and start != mark and last[start] < 0:
-                        continue
-                    if start == mark:
-                        continue
-                    if start == 0 or self.compatible(last[start], token):
-                        chosen, size = token, length
-                        break
-            last.append(chosen)
-            width.append(size)
-        ids, at = [], len(symbols)
-        while at:
-            if last[at] < 0:
-                raise ValueError(f"no encoding for {word!r}")
-            ids.append(last[at])
-            at -= width[at]
-        return ids[::-1]
-
-    def encode_chunk(self, chunk: str) -> tuple[bytes, str, int]:
-        """Ids as little-endian 32-bit integers, decoded text and number of tokens of a chunk without white space."""
-        hit = self.cache.get(chunk)
-        if hit is not None:
-            return hit
-        ids: list[int] = []
-        for word in self.words.findall(self.normalizer.normalize_str(chunk)):
-            ids += self.encode_word(word.encode("utf-8").decode("latin-1").translate(self.bytes))
-        out = (np.array(ids, "<u4").tobytes(), " ".join(map(self.names.__getitem__, ids)), len(ids))
-        if len(chunk) <= _CACHE_CHUNK_CHARS:
-            if len(self.cache) >= _CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = out
-        return out
-
-    def _parts(self, text: str) -> Iterator[tuple[bytes, str, int]]:
-        at = 0
-        for m in self.cut.finditer(text) if self.cut and "<|" in text else ():
-            yield from self._plain(text[at : m.start()])
-            i = self.special[m[0]]
-            yield np.array([i], "<u4").tobytes(), m[0], 1
-            at = m.end()
-        yield from self._plain(text[at:] if at else text)
-
-    def _plain(self, text: str) -> Iterator[tuple[bytes, str, int]]:
-        chunks = _CHUNK.findall(text) if _ONLY_PYTHON_SPACE.search(text) else text.split()
-        cache, slow = self.cache, self.encode_chunk
-        for chunk in chunks:
-            yield cache.get(chunk) or slow(chunk)
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Tokens at the end (side 1) or start (side 0) of a token as its merges go on, each with the merge that swallows it."""
+        known = self.spines[side].get(token)
+        if known is None:
+            known, at, dies = [], token, _NEVER
+            while True:
+                known.append((at, dies))
+                if at not in self.halves:
+                    break
+                dies = self.born[at]
+                at = self.halves[at][side]
+            known.reverse()
+            self.spines[side][token] = known
+        return known
+
+    def encode_words(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each of the words (pre-tokens as mapped bytes), which are best sorted.
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
+        What is stored for a prefix holds for all words that begin with it, so only
+        the part of a word that differs from the word before is worked out.
+        """
+        fits, compatible = self.fits, self.compatible
+        nxt, link, sizes, found = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.found
+        states, spans, last, width = [0], [0], [-1], [0]
+        before_word = ""
+        for word in words:
+            symbols = word + self.end
+            shared, most = 0, min(len(symbols), len(before_word))
+            while shared < most and symbols[shared] == before_word[shared]:
+                shared += 1
+            del states[shared + 1 :], spans[shared + 1 :], last[shared + 1 :], width[shared + 1 :]
+            state, size, at = states[shared], spans[shared], shared
+            before_word = symbols
+            for symbol in symbols[shared:]:
+                at += 1
+                to = nxt[state].get(symbol)
+                while to is None and state:
+                    state = link[state]
+                    size = sizes[state]
+                    to = nxt[state].get(symbol)
+                chosen = wide = -1
+                if to is not None:
+                    state, size = to, size + 1
+                    for length, token in found[state]:
+                        if length > size:
+                            continue
+                        if length == at:
+                            chosen, wide = token, length
+                            break
+                        before = last[at - length]
+                        if before < 0:
+                            continue
+                        known = fits.get(before << 32 | token)
+                        if known or known is None and compatible(before, token):
+                            chosen, wide = token, length
+                            break
+                states.append(state)
+                spans.append(size)
+                last.append(chosen)
+                width.append(wide)
+            ids = []
+            while at:
+                if last[at] < 0:
+                    raise ValueError(f"no encoding for {word!r}")
+                ids.append(last[at])
+                at -= width[at]
+            ids.reverse()
+            yield ids
+
+    def _words_of(self, chunk: str) -> list[str]:
+        """The pre-tokens of a normalised chunk; the plain cases need no pattern."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[-1] in ".," and chunk[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.words.findall(chunk)
+
+    def prepare(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
+        """Packed ids and decoded text of chunks without white space; each distinct word is encoded once."""
+        made, cache, cooling = {}, self.cache, self.cooling
+        missing = []
+        for chunk in chunks:
+            hit = cache.get(chunk)
+            if hit is None:
+                hit = cooling.get(chunk)
+                if hit is None:
+                    missing.append(chunk)
+                    continue
+                if len(chunk) <= _CACHE_CHUNK_CHARS:
+                    cache[chunk] = hit
+            made[chunk] = hit
+        plain = [c.lower() if c.isascii() else self.normalizer.normalize_str(c) for c in missing]
+        split = [self._words_of(c) for c in plain]
+        words = {w for parts in split for w in parts}
+        known = {w: hit for w in words if (hit := self.word_cache.get(w))}
+        mapped = {w if w.isascii() and w.isalnum() else w.encode("utf-8").decode("latin-1").translate(self.bytes): w for w in words if w not in known}
+        order, names = sorted(mapped), self.names
+        fresh = {mapped[m]: (struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids])) for m, ids in zip(order, self.encode_words(order))}
+        known |= fresh
+        for chunk, parts in zip(missing, split):
+            found = [known[w] for w in parts]
+            made[chunk] = hit = found[0] if len(found) == 1 else (b"".join([p[0] for p in found]), " ".join([p[1] for p in found]))
+            if len(chunk) <= _CACHE_CHUNK_CHARS:
+                cache[chunk] = hit
+        if len(cache) > _CACHE_CHUNKS:  # what was used lately stays one more turn
+            self.cache, self.cooling = {}, cache
+        if len(self.word_cache) > _CACHE_WORDS:
+            self.word_cache.clear()
+        self.word_cache |= {w: hit for w, hit in fresh.items() if len(w) <= _CACHE_CHUNK_CHARS}
+        return made
+
+    def _pieces(self, text: str) -> list[str]:
+        """The text's chunks, and special tokens as pieces of their own, after a space."""
+        if self.cut and "<|" in text and self.cut.search(text):
+            out, at = [], 0
+            for m in self.cut.finditer(text):
+                out += [*self._chunks(text[at : m.start()]), " " + m[0]]
+                at = m.end()
+            return out + self._chunks(text[at:])
+        return self._chunks(text)
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        return _CHUNK.findall(text) if _ONLY_PYTHON_SPACE.search(text) else text.split()
+
+    def packed(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str]]]:
+        """For each text its ids as little-endian 32-bit integers and its decoded parts."""
+        at = 0
+        while at < len(texts):  # runs of bounded size; a longer text stands alone
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to] or "") <= _RUN):
+                size += len(texts[to] or "")
+                to += 1
+            pieces = [self._pieces(t or "") for t in texts[at:to]]
+            ready = self.prepare({c for p in pieces for c in p if c[0] != " "})
+            for content, i in self.special.items():  # no chunk begins with a space
+                ready[" " + content] = (struct.pack("<I", i), content)
+            for p in pieces:
+                hits = [ready[c] for c in p]
+                yield b"".join([h[0] for h in hits]), [h[1] for h in hits if h[1]]
+            at = to
+
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text."""
-        parts = list(self._parts(text or ""))
-        ids = b"".join([p[0] for p in parts])
-        decoded = " ".join([p[1] for p in parts if p[2]])
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        for ids, parts in self.packed(texts):
+            yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join(parts).encode()).hexdigest()
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join([p[0] for p in self._parts(text or "")]), "<u4").tolist()
+        return np.frombuffer(next(self.packed([text]))[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings joined by a space: the file names no decoder."""
@@ -285,6 +353,7 @@ def coder(path: str) -> PrefixBpe:
     """One coder for each worker process."""
     if path not in _CODERS:
         _CODERS[path] = PrefixBpe(path)
+        gc.freeze()  # the automaton needs no look from the garbage collector
     return _CODERS[path]
 
 
@@ -297,7 +366,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def run(batches):
         bpe = coder(path)
         for b in batches:
-            ids = [np.array(bpe.encode(t), "int32") for t in b.column(text).to_pylist()]
+            ids = [np.frombuffer(x, "<u4").astype("int32") for x, _ in bpe.packed(b.column(text).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("int32")
             flat = np.concatenate(ids) if ids else np.zeros(0, "int32")
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
@@ -333,7 +402,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches):
         bpe = coder(path)
         for b in batches:
-            done = [bpe.digest(t.as_py()) for t in b.column(1)]
+            done = list(bpe.digests(b.column(1).to_pylist()))
             n, a, d = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=schema.names)
 
