@@ -1,24 +1,71 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
+returns the columns of documents; the last returns token digests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, queries
+from loomgraph.llm import bpe, importance, linededup, minhash, mixing, queries
 from loomgraph.llm._scratch import Scratch
 
+#: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
+_BROADCAST_KEYS = 1_000_000
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose key isn't rejected; a key goes only if all of its rows are rejected."""
+    scratch = Scratch(docs.sparkSession, "verdicts")
+    gone = verdicts.groupBy(F.col(key).alias("_key")).agg(F.max("kept").alias("kept")).filter("NOT kept").select("_key")
+    gone = scratch.save(gone, "rejected")
+    if gone.count() <= _BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[key].eqNullSafe(gone["_key"]), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _keep(docs, importance.resample(spark, docs, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines go, and documents of which nothing is left."""
+    cleaned = linededup.clean(spark, docs)
+    left = cleaned.filter((F.col("n_cut") == 0) | (F.length(F.translate("text", mixing.BLANKS, "")) > 0))
+    size = F.when(F.col("n_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", size).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return _keep(docs, minhash.near_duplicates(spark, docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; rows are repeated as the mix takes them."""
+    return mixing.mix(spark, docs)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, queries._tokenizer("word_bpe_49k.json"))
+    """Digests of ids and decoded text of each row."""
+    return bpe.digests(docs, queries.tokenizer("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("encode", encode),
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("mixing sources", mix),
+    ("bpe encoding", encode),
 ]
 
-#: Numpy models and hashes decide in these stages; no SQL.
+#: Numpy models and hashes decide in these stages; SQL can't express them.
 ORACLE_SQL: str | None = None
 
 
@@ -27,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

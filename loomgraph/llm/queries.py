@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, flatgraph, hostrules, importance, langid, linededup, minhash, mixing, token_counts
+from loomgraph.llm import blocks, bpe, flatgraph, hostrules, importance, langid, linededup, minhash, mixing, token_counts
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,8 +24,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.main_text(_read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +37,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +62,7 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_blocks": op2_blocks,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op5_token_counts": op5_token_counts,
