@@ -1 +1 @@
-
+"""Column functions on terms and names."""

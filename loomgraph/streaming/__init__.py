@@ -1 +1 @@
-
+"""Streams of triples into a store."""
