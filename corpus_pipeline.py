@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, importance, linededup, minhash, mixing, queries
 from loomgraph.llm._scratch import Scratch
+from loomgraph.llm._text import n_words
 
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
 _BROADCAST_KEYS = 1_000_000
@@ -37,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines go, and documents of which nothing is left."""
     cleaned = linededup.clean(spark, docs)
-    left = cleaned.filter((F.col("n_cut") == 0) | (F.length(F.translate("text", mixing.BLANKS, "")) > 0))
+    left = cleaned.filter((F.col("n_cut") == 0) | (n_words(F.col("text")) > 0))
     size = F.when(F.col("n_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", size).select(*docs.columns)
 

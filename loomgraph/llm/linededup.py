@@ -19,8 +19,8 @@ their interval. Counts and first places are partial aggregates, joins on a commo
 or run are skewed ones that adaptive execution splits, and windows of Spark are over
 the lines of one document.
 
-Only DataFrame functions are used. Lines are compared by 96 bits of hash, without
-white space at their ends.
+Only DataFrame functions are used. Lines are compared by 96 bits of hash, as their
+words with one space between them.
 
 Defined results: a null text stays null and has no lines; an empty text stays empty;
 lines without a word are kept; a run that overlaps its own copy keeps its
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._scratch import Scratch
-from loomgraph.llm.mixing import BLANKS, n_words
+from loomgraph.llm._text import n_words, n_words_spaced, spaced
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,11 +45,11 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """One row for each line with a word: key, hash, ord (place among them), raw (place among all lines), h1, h2, words."""
-    all_lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(F.trim(F.translate(x, BLANKS, " " * len(BLANKS))).alias("line"), i.alias("raw")))
+    all_lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(spaced(x).alias("line"), i.alias("raw")))
     worded = F.filter(all_lines, lambda x: F.length(x["line"]) > 0)
     each = docs.select("_key", "_hash", F.posexplode(worded).alias("ord", "x"))
     line = F.col("x.line")
-    return each.select("_key", "_hash", "ord", F.col("x.raw").alias("raw"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), n_words(line).cast("int").alias("words"))
+    return each.select("_key", "_hash", "ord", F.col("x.raw").alias("raw"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), n_words_spaced(line).cast("int").alias("words"))
 
 
 def _ranked(scratch: Scratch, pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -122,11 +122,11 @@ def later_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
 
 def clean(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with later copies of runs of lines cut out of ``text``, and ``n_cut``, the number of lines cut."""
-    cuts = later_copies(spark, docs, key, text, min_words).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "cut")
+    cuts = later_copies(spark, docs, key, text, min_words).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "cut").hint("merge")  # the same plan at any size
     met = _identified(docs, key, text).join(cuts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
     n_cut = F.coalesce(F.size("cut"), F.lit(0)).cast("long")
-    return met.select(*(F.when(F.col("cut").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns), F.greatest(n_cut, F.lit(0)).alias("n_cut"))
+    return met.select(*(F.when(F.col("cut").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_cut"), F.greatest(n_cut, F.lit(0)).alias("n_cut"))
 
 
 def digests(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
