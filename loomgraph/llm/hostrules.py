@@ -23,28 +23,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm._scratch import Scratch
-from loomgraph.llm.mixing import BLANKS
+from loomgraph.llm._text import BLANKS, spaced, without
 
 SYMBOLS = "#*$%&|<>"
 
 
-def _words(text: Column) -> Column:
-    flat = F.regexp_replace(F.trim(F.translate(text, BLANKS, " " * len(BLANKS))), " {2,}", " ")
-    return F.when(F.length(flat) > 0, F.split(flat, " ")).otherwise(F.array().cast("array<string>"))
-
-
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Per row: key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.length(F.trim(without(x, BLANKS[1:]))) > 0)
     one = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), t.alias("t"))
     two = one.select(
         "key", "host",
-        F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(without(F.col("t"), BLANKS)).cast("long").alias("word_chars"),
+        (F.octet_length("t") - F.octet_length(without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        F.transform(_words(F.col("t")), lambda x: F.xxhash64(x)).alias("w"),
+        F.split(spaced(F.col("t")), " ").alias("s"),
     )
+    # an empty text splits into one empty word
+    two = two.withColumn("w", F.transform(F.when(F.get("s", F.lit(0)) == "", F.slice("s", 1, 0)).otherwise(F.col("s")), lambda x: F.xxhash64(x))).drop("s")
     n = F.size("w")
     windows = F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
     three = two.select("key", "host", n.cast("long").alias("n_words"), "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("h"))
