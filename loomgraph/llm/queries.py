@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import blocks, bpe, flatgraph, hostrules, importance, langid, linededup, minhash, mixing, token_counts
+from loomgraph.llm import blocks, bpe, flatgraph, hostrules, importance, langid, linededup, minhash, mixing, oracles, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -75,5 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.plan_sql(),
+    "op4_minhash": oracles.MINHASH,
     "op7_hostrules": hostrules.SQL,
+    "op8_linededup": oracles.LINEDEDUP,
+    "op9_flatgraph": oracles.FLATGRAPH,
 }
