@@ -7,7 +7,6 @@ and are read back as plain Parquet, which cuts the lineage.
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -33,23 +32,24 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loom_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        for df in tables:
-            self._delete(df._loom_path)
-
-    def close(self) -> None:
-        self._delete(self.root)
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but those that a result still reads. They go with the shared folder."""
+        kept = {t._loom_path for t in tables}
+        for path in self.paths - kept:
+            self._delete(path)
+        self.paths &= kept
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -57,8 +57,15 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of one Arrow batch, where the session has Spark's own default: long texts come in small batches.
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless PYTHONPATH already names its folder."""
+    """Before Python runs on executors: bound its batches, and send this package unless PYTHONPATH already names its folder."""
+    for name, (default, wanted) in _BATCH.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, wanted)
     root = Path(__file__).resolve().parents[2]
     on_path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if any(Path(p).resolve() == root for p in on_path):
@@ -73,5 +80,4 @@ def ship(spark: SparkSession) -> None:
             if p.suffix in {".py", ".npz"}:
                 z.write(p, p.relative_to(root))
     spark.sparkContext.addPyFile(target)
-    shutil.rmtree(folder, ignore_errors=True) if not os.path.exists(target) else None
     _SHIPPED[app] = target

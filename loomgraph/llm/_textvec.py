@@ -62,9 +62,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; nulls are empty."""
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     if data is None or at[-1] == at[0]:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]

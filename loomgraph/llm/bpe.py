@@ -19,7 +19,7 @@ import gc
 import hashlib
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,10 @@ from loomgraph.llm._scratch import ship
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(f"[^{_SPACE}]+")
 _ONLY_PYTHON_SPACE = regex.compile("[\x1c-\x1f]")
-_CACHE_CHUNKS = 200_000
-_CACHE_WORDS = 300_000
+_CACHE_CHUNKS = 100_000
+_CACHE_WORDS = 250_000
 _CACHE_CHUNK_CHARS = 64
-_RUN = 1 << 23
+_RUN = 1 << 22
 _NEVER = 1 << 62
 
 
@@ -176,7 +176,7 @@ class PrefixBpe:
                 i += 1
             else:
                 j += 1
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         self.fits[key] = fits
         return fits
@@ -307,24 +307,26 @@ class PrefixBpe:
     def _chunks(text: str) -> list[str]:
         return _CHUNK.findall(text) if _ONLY_PYTHON_SPACE.search(text) else text.split()
 
-    def packed(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str]]]:
+    def packed(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, list[str]]]:
         """For each text its ids as little-endian 32-bit integers and its decoded parts."""
-        at = 0
-        while at < len(texts):  # runs of bounded size; a longer text stands alone
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to] or "") <= _RUN):
-                size += len(texts[to] or "")
-                to += 1
-            pieces = [self._pieces(t or "") for t in texts[at:to]]
-            ready = self.prepare({c for p in pieces for c in p if c[0] != " "})
-            for content, i in self.special.items():  # no chunk begins with a space
-                ready[" " + content] = (struct.pack("<I", i), content)
-            for p in pieces:
-                hits = [ready[c] for c in p]
-                yield b"".join([h[0] for h in hits]), [h[1] for h in hits if h[1]]
-            at = to
-
-    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        pieces, size = [], 0
+        for text in texts:  # runs of bounded size; a longer text ends one
+            pieces.append(self._pieces(text or ""))
+            size += len(text or "")
+            if size > _RUN:
+                yield from self._packed(pieces)
+                pieces, size = [], 0
+        yield from self._packed(pieces)
+
+    def _packed(self, pieces: list[list[str]]) -> Iterator[tuple[bytes, list[str]]]:
+        ready = self.prepare({c for p in pieces for c in p if c[0] != " "})
+        for content, i in self.special.items():  # no chunk begins with a space
+            ready[" " + content] = (struct.pack("<I", i), content)
+        for p in pieces:
+            hits = [ready[c] for c in p]
+            yield b"".join([h[0] for h in hits]), [h[1] for h in hits if h[1]]
+
+    def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text."""
         for ids, parts in self.packed(texts):
             yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join(parts).encode()).hexdigest()
@@ -366,7 +368,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def run(batches):
         bpe = coder(path)
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype("int32") for x, _ in bpe.packed(b.column(text).to_pylist())]
+            ids = [np.frombuffer(x, "<u4").astype("int32") for x, _ in bpe.packed(t.as_py() for t in b.column(text))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("int32")
             flat = np.concatenate(ids) if ids else np.zeros(0, "int32")
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
@@ -402,7 +404,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches):
         bpe = coder(path)
         for b in batches:
-            done = list(bpe.digests(b.column(1).to_pylist()))
+            done = list(bpe.digests(t.as_py() for t in b.column(1)))
             n, a, d = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=schema.names)
 

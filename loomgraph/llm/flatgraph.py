@@ -288,6 +288,7 @@ def near_duplicates(spark: SparkSession, table: DataFrame, key: str = "vec_id",
     else:
         placed = placed.join(mapping.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     placed = scratch.save(placed, "placed")
+    scratch.keep_only(placed)
     smallest = placed.groupBy("comp").agg(F.min("key").alias("component_id"))
     out = placed.join(smallest, "comp")
     return out.select(F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -117,7 +117,9 @@ def later_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     origin = met.groupBy("m", "p", "q").agg(F.min(F.struct("_key", "_hash", "start")).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = met.join(origin, ["m", "p", "q"]).filter(~F.struct("_key", "_hash", "start").eqNullSafe(F.col("o")))
     gone = copies.select("_key", "_hash", F.explode("raws").alias("raw"))
-    return scratch.save(gone.groupBy("_key", "_hash").agg(F.array_sort(F.collect_set("raw")).alias("cut")), "cuts")
+    cuts = scratch.save(gone.groupBy("_key", "_hash").agg(F.array_sort(F.collect_set("raw")).alias("cut")), "cuts")
+    scratch.keep_only(cuts)
+    return cuts
 
 
 def clean(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
