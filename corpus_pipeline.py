@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import bpe, importance, linededup, minhash, mixing, queries
 from loomgraph.llm._scratch import Scratch
@@ -24,7 +25,7 @@ def _keep(docs: DataFrame, verdicts: DataFrame, key: str = "doc_id") -> DataFram
     scratch = Scratch(docs.sparkSession, "verdicts")
     gone = verdicts.groupBy(F.col(key).alias("_key")).agg(F.max("kept").alias("kept")).filter("NOT kept").select("_key")
     gone = scratch.save(gone, "rejected")
-    if gone.count() <= _BROADCAST_KEYS:
+    if docs.schema[key].dataType in (T.IntegerType(), T.LongType()) and gone.count() <= _BROADCAST_KEYS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs[key].eqNullSafe(gone["_key"]), "left_anti")
 

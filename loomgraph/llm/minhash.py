@@ -10,7 +10,7 @@ doesn't emit its pairs. In rounds, a pivot of each bucket is compared with the
 members that are not yet in the pivot's component; buckets within one component are
 done, so a group of copies costs a comparison for each member.
 
-Buckets that are still mixed after two rounds hold documents that share a passage
+Buckets that are still mixed after a round hold documents that share a passage
 and little else. Their documents are dealt anew by an exact rule: sorted from rare
 to common shingles, two documents of similarity 0.75 share one of the first
 n - ceil(0.75 n) + 1 of the larger and the first n - ceil(6/7 n) + 1 of the
@@ -43,8 +43,8 @@ _PERMUTATIONS = 80
 _FLIP = tv.stream(_PERMUTATIONS, 11)
 _TIMES = tv.stream(_PERMUTATIONS, 12) | np.uint64(1)
 _SALT = tv.stream(2 * _PERMUTATIONS // _ROWS, 13)
-#: Rounds over the buckets of the bands, before the rest is dealt anew.
-_BAND_ROUNDS = 2
+#: Rounds over the buckets of the bands, before the rest is dealt anew. The first joins all copies near to a pivot.
+_BAND_ROUNDS = 1
 _COUNTERS = 1 << 18
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
 _BROADCAST_KEYS = 1_000_000
@@ -150,7 +150,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         used = members.select("cid").distinct()
         involved = scratch.save(classes.drop("bands").join(used, "cid", "left_semi"), "involved")
         reps = involved.select(F.col("rep").alias("_rep")).distinct()
-        if involved.count() <= _BROADCAST_KEYS:
+        if docs.schema[key].dataType in (T.IntegerType(), T.LongType()) and involved.count() <= _BROADCAST_KEYS:
             reps = F.broadcast(reps)
         texts = docs.join(reps, F.col(key).eqNullSafe(F.col("_rep")), "left_semi").select(F.col(key), F.col(text))
         full = shingle_sets(texts, key, text, width).drop("key").join(involved.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"])
@@ -158,10 +158,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         linked = _link(scratch, members, sets, percent)
 
     if linked is None:
+        scratch.keep_only(signed, classes)
         named = classes.select("n", "k1", "k2", F.col("rep").alias("component_id"))
     else:
         placed = classes.drop("bands").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
         placed = scratch.save(placed.withColumn("comp", F.coalesce("comp", "cid")), "placed")
+        scratch.keep_only(signed, placed)
         least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
         named = placed.join(least, "comp").select("n", "k1", "k2", "component_id")
     out = signed.drop("bands").join(named, ["n", "k1", "k2"], "left").withColumn("component_id", F.coalesce("component_id", "key"))
