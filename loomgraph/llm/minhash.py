@@ -10,7 +10,7 @@ doesn't emit its pairs. In rounds, a pivot of each bucket is compared with the
 members that are not yet in the pivot's component; buckets within one component are
 done, so a group of copies costs a comparison for each member.
 
-Buckets that are still mixed after a round hold documents that share a passage
+Buckets that are still mixed after two rounds hold documents that share a passage
 and little else. Their documents are dealt anew by an exact rule: sorted from rare
 to common shingles, two documents of similarity 0.75 share one of the first
 n - ceil(0.75 n) + 1 of the larger and the first n - ceil(6/7 n) + 1 of the
@@ -44,7 +44,7 @@ _FLIP = tv.stream(_PERMUTATIONS, 11)
 _TIMES = tv.stream(_PERMUTATIONS, 12) | np.uint64(1)
 _SALT = tv.stream(2 * _PERMUTATIONS // _ROWS, 13)
 #: Rounds over the buckets of the bands, before the rest is dealt anew. The first joins all copies near to a pivot.
-_BAND_ROUNDS = 1
+_BAND_ROUNDS = 2
 _COUNTERS = 1 << 18
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
 _BROADCAST_KEYS = 1_000_000
