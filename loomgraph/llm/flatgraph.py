@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by search in a robust-pruned flat graph.
 
-Vectors of one label are dealt to cluster shards: the cell of the nearest of some
-sampled centres, and the cells of centres not much farther (``margin``), so
-shards overlap. In each shard every vector gets a short list of neighbours: near
+Vectors of one label are dealt to cluster shards: the home cell, of the nearest of some
+sampled centres, and every cell that may be the home of a vector in range. The plane
+halfway between two centres parts their cells, so that is so only if the vector is
+within the range of that plane. Shards overlap, and a vector's home shard holds all
+that it can link with. Centres that are too close to part anything are dropped. In each shard every vector gets a short list of neighbours: near
 members, pruned so that no kept neighbour is much closer to another kept one than to the
 vector, and a few random ones; links are made both ways. The lists of a vector from
 all of its shards are united.
@@ -204,36 +206,63 @@ def _search_shard(least: float):
     return run
 
 
-def _assign(centres: dict[tuple, np.ndarray], margin: float):
+def _cells(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home) of unit vectors ``x``: a row's cells are those where a vector at a cosine of ``least`` may be at home.
+
+    With n the unit normal of the plane between the centres of the row's home and of a cell, a vector v of that cell
+    has n.v <= 0, so its angle to the row is at least arcsin(n.row).
+    """
+    reach = math.sqrt(max(0.0, 1 - max(least, 0.0) ** 2))
+    dots = x @ c.T
+    nearest = np.argmax(dots, axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[nearest] @ c.T)))
+    row, cell = np.nonzero(dots.max(axis=1)[:, None] - dots <= reach * apart + 1e-9)
+    return row, cell.astype(np.int32), cell == nearest[row]
+
+
+def _assign(centres: dict[tuple, np.ndarray], least: float):
     def run(batches):
         for rows in batches:
-            rid, cell, home, at = [], [], [], []
+            parts, n = [], 0
             for group, own in rows.groupby(["label", "dim"], sort=False):
                 c, where = centres.get(group), own.index.to_numpy()
                 if c is None:
-                    rid.append(own["rid"].to_numpy())
-                    cell.append(np.zeros(len(own), np.int32))
-                    home.append(np.ones(len(own), bool))
-                    at.append(where)
+                    parts.append((where, np.zeros(len(own), np.int32), np.ones(len(own), bool)))
+                    n += len(own)
                     continue
-                for s in range(0, len(own), 1024):
-                    part = own.iloc[s : s + 1024]
-                    angle = np.arccos(np.clip(_unit(_stack(part["embedding"])) @ c.T, -1, 1))
-                    nearest = np.argmin(angle, axis=1)
-                    i, j = np.nonzero(angle <= angle.min(axis=1)[:, None] + margin)
-                    rid.append(part["rid"].to_numpy()[i])
-                    cell.append(j.astype(np.int32))
-                    home.append(j == nearest[i])
-                    at.append(where[s : s + 1024][i])
-            if rid:
-                at = np.concatenate(at)
-                yield pd.DataFrame({"rid": np.concatenate(rid), "label": rows["label"].loc[at].to_numpy(), "dim": rows["dim"].loc[at].to_numpy(), "cell": np.concatenate(cell), "home": np.concatenate(home), "embedding": rows["embedding"].loc[at].to_numpy()})
+                for s in range(0, len(own), 256):
+                    row, cell, home = _cells(_unit(_stack(own["embedding"].iloc[s : s + 256])), c, least)
+                    parts.append((where[s : s + 256][row], cell, home))
+                    n += len(row)
+                    if n >= len(rows):  # a row may have many cells
+                        yield _dealt(rows, parts)
+                        parts, n = [], 0
+            if parts:
+                yield _dealt(rows, parts)
 
     return run
 
 
-def _centres(vectors: DataFrame, groups: DataFrame) -> dict[tuple, np.ndarray]:
-    """Sampled unit vectors for each (label, dim) with more rows than a shard: about one for SHARD_ROWS, MAX_CENTRES in all."""
+def _dealt(rows: pd.DataFrame, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    at, cell, home = map(np.concatenate, zip(*parts))
+    own = rows.loc[at]
+    return pd.DataFrame({"rid": own["rid"].to_numpy(), "label": own["label"].to_numpy(), "dim": own["dim"].to_numpy(), "cell": cell, "home": home, "embedding": own["embedding"].to_numpy()})
+
+
+def _apart(c: np.ndarray, closest: float) -> np.ndarray:
+    """Those of the unit vectors ``c`` that have no earlier one of them at a cosine of ``closest``."""
+    kept, left = [], np.arange(len(c))
+    while len(left):
+        kept.append(left[0])
+        left = left[1:][c[left[1:]] @ c[left[0]] < closest]
+    return c[kept]
+
+
+def _centres(vectors: DataFrame, groups: DataFrame, least: float) -> dict[tuple, np.ndarray]:
+    """Sampled unit vectors for each (label, dim) with more rows than a shard: about one for SHARD_ROWS, MAX_CENTRES in all.
+
+    Of centres within twice the range of each other one stays: all rows at either would be in both cells.
+    """
     large = groups.filter(F.col("n") > SHARD_ROWS)
     total = large.agg(F.sum("n")).first()[0]
     if not total:
@@ -244,10 +273,11 @@ def _centres(vectors: DataFrame, groups: DataFrame) -> dict[tuple, np.ndarray]:
     out: dict[tuple, list] = {}
     for label, dim, v in rows:
         out.setdefault((label, dim), []).append(v)
-    return {k: _unit(np.array(v, np.float64)) for k, v in out.items() if len(v) > 1}
+    thinned = {k: _apart(_unit(np.array(v, np.float64)), 2 * max(least, 0.0) ** 2 - 1) for k, v in out.items()}
+    return {k: c for k, c in thinned.items() if len(c) > 1}
 
 
-def near_duplicates(spark: SparkSession, table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, margin: float = math.radians(6)) -> DataFrame:
+def near_duplicates(spark: SparkSession, table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
     """Per row: key, n_links (other rows linked directly), component_id (smallest key reachable), kept (key = component_id)."""
     ship(spark)
     scratch = Scratch(spark, "flatgraph")
@@ -258,9 +288,9 @@ def near_duplicates(spark: SparkSession, table: DataFrame, key: str = "vec_id",
     vectors = everything.filter("sound").select("rid", "label", "dim", "embedding")
     kinds = dict(everything.dtypes)
     groups = scratch.save(vectors.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "groups")
-    centres = _centres(vectors, groups)
+    centres = _centres(vectors, groups, least)
     schema = f"rid long, label {kinds['label']}, dim int, cell int, home boolean, embedding {kinds['embedding']}"
-    dealt = scratch.save(vectors.mapInPandas(_assign(centres, margin), schema), "dealt")
+    dealt = scratch.save(vectors.mapInPandas(_assign(centres, least), schema), "dealt")
     cells = dealt.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("size"))
     cells = scratch.save(cells.select("label", "dim", "cell", F.ceil(F.col("size") / GRAPH_ROWS).cast("int").alias("parts")), "cells")
     sized = dealt.join(cells, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rid", F.lit(5)), F.col("parts")).cast("int"))

@@ -1,6 +1,7 @@
 """Near-duplicates of texts and vectors, and repeated lines, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -196,6 +197,40 @@ def test_vectors(spark, monkeypatch, shard, graph):
     assert flatgraph.near_duplicates(spark, table.limit(0)).count() == 0
 
 
+def hot_neighbours(copies=200, d=16):
+    """Two groups of exact copies at a cosine of 0.985, one more group on the far side of each, and other vectors."""
+    r = np.random.default_rng(8)
+    a, b = np.linalg.qr(r.normal(size=(d, 2)))[0].T
+    at = lambda turn: math.cos(turn) * a + math.sin(turn) * b
+    step = math.acos(0.985)
+    every = [*[at(0)] * copies, *[at(step)] * copies, *[at(-step)] * 20, *[at(2 * step)] * 20, *r.normal(size=(160, d))]
+    return [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(every)]
+
+
+def test_vectors_hot_neighbours(spark, monkeypatch):
+    """Groups of copies that draw centres of their own lose no link to their neighbours."""
+    monkeypatch.setattr(flatgraph, "SHARD_ROWS", 40)
+    rows = hot_neighbours()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = flatgraph.near_duplicates(spark, table)
+    assert sorted(str((r[0], r[1], r[2], r[0] == r[2])) for r in got.collect()) == brute_vectors(rows)
+
+
+def test_cells_hold_all_in_range():
+    """The home of each vector in range is one of a vector's cells, whatever the centres."""
+    r = np.random.default_rng(4)
+    for d in (2, 3, 16):
+        x = flatgraph._unit(r.normal(size=(600, d)) * r.choice([1, 0.2], size=(1, d)))
+        c = x[r.choice(600, 30)]
+        row, cell, home = flatgraph._cells(x, c, 0.98)
+        assert sorted(row[home]) == list(range(600))
+        own = np.zeros((600, 30), bool)
+        own[row, cell] = True
+        at = np.argmax(x @ c.T, axis=1)
+        i, j = np.nonzero(x @ x.T >= 0.98)
+        assert own[i, at[j]].all()
+
+
 def test_recall_on_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     assert flatgraph.audit(spark, table, flatgraph.near_duplicates(spark, table)) >= 0.9
