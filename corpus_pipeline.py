@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgraph.llm import bpe, importance, linededup, minhash, mixing, queries
 from loomgraph.llm._scratch import Scratch
@@ -20,20 +19,28 @@ from loomgraph.llm._text import n_words
 _BROADCAST_KEYS = 1_000_000
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key isn't rejected; a key goes only if all of its rows are rejected."""
-    scratch = Scratch(docs.sparkSession, "verdicts")
-    gone = verdicts.groupBy(F.col(key).alias("_key")).agg(F.max("kept").alias("kept")).filter("NOT kept").select("_key")
-    gone = scratch.save(gone, "rejected")
-    if docs.schema[key].dataType in (T.IntegerType(), T.LongType()) and gone.count() <= _BROADCAST_KEYS:
+#: The number of a row in its stage: ids may be null or repeated.
+_ROW = "_loom_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_ROW``, written, so that a row has one number however often it is read."""
+    return Scratch(docs.sparkSession, "numbered").save(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of numbered ``docs`` but those of ``gone``, without their numbers."""
+    gone = Scratch(docs.sparkSession, "verdicts").save(gone.select(_ROW), "rejected")
+    if gone.count() <= _BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[key].eqNullSafe(gone["_key"]), "left_anti")
+    return docs.join(gone, _ROW, "left_anti").drop(_ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _keep(docs, importance.resample(spark, docs, labels))
+    docs = _numbered(docs)
+    return _without(docs, importance.resample(spark, docs, labels, row=_ROW).filter("NOT kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +52,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return _keep(docs, minhash.near_duplicates(spark, docs))
+    """Of each group of near-duplicates the document with the smallest id stays, null last; of rows with equal ids one."""
+    docs, scratch = _numbered(docs), Scratch(spark, "near-dedup")
+    found = scratch.save(minhash.near_duplicates(spark, docs, key=_ROW).select(_ROW, "component_id"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", _ROW)
+    first = found.join(docs.select(_ROW, "doc_id"), _ROW).groupBy("component_id").agg(F.min(order).alias("o")).select(F.col(f"o.{_ROW}"))
+    return _without(docs, found.join(first, _ROW, "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

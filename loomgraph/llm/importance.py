@@ -102,28 +102,30 @@ def models(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "t
     return chance(target) - chance(raw)
 
 
-def log_ratios(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key and ``log_ratio``, the sum of the log ratios of its n-grams."""
+def log_ratios(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", row: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: key, the columns ``row`` and ``log_ratio``, the sum of the log ratios of its n-grams."""
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("log_ratio", T.DoubleType())])
+    named = [key, *row]
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in named), T.StructField("log_ratio", T.DoubleType())])
     table = np.concatenate([[0.0], weights])
 
     def run(batches):
         for b in batches:
             out = np.zeros(b.num_rows)
-            for lo, hi, (found, offsets) in _slices(b.column(1)):
+            for lo, hi, (found, offsets) in _slices(b.column(len(named))):
                 total = np.concatenate([[0.0], np.cumsum(table[found + 1])])
                 out[lo:hi] = total[offsets[1:]] - total[offsets[:-1]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(named)], pa.array(out)], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(*named, F.col(text)).mapInArrow(run, schema)
 
 
-def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", keep: int | None = None, max_labelled: int = 500_000, seed: int = 1) -> DataFrame:
-    """Per row: key, log_ratio, gumbel_key (with noise), kept.
+def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", keep: int | None = None, max_labelled: int = 500_000, seed: int = 1, row: str | None = None) -> DataFrame:
+    """Per row: key, ``row`` if named, log_ratio, gumbel_key (with noise), kept.
 
     :param labels: key and ``quality`` (1: good).
     :param keep: number of rows to keep; None: the share of good among labelled documents, of all rows.
+    :param row: a column of ``docs`` that tells rows with equal keys apart.
     :param max_labelled: the target model is fitted on about so many good labelled documents at most, those of the
         least random numbers. Their keys (8 bytes each) are broadcast. The raw model always counts all rows.
     """
@@ -133,7 +135,8 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str =
     if (n_good := good.count()) > max_labelled:
         good = good.filter(uniform(F.col(key), seed + 1) < max_labelled / n_good)
     weights = models(docs, good, key, text)
-    scored = log_ratios(docs, weights, key, text)
+    named = [key] if row is None else [key, row]
+    scored = log_ratios(docs, weights, key, text, tuple(named[1:]))
     noise = -F.log(-F.log((uniform(F.col(key), seed) * float((1 << 52) - 2) + 1) / float(1 << 52)))
     scored = scored.withColumn("gumbel_key", F.col("log_ratio") + noise)
     z = F.col("gumbel_key")
@@ -142,5 +145,5 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str =
         n, share = scored.count(), known.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
         keep = n if share is None else round(n * share)
     budgets = spark.range(1).select(F.lit(0).alias("g"), F.lit(float(keep)).alias("budget"))
-    cut = ordered_cut(scratch, scored, budgets, "g", "at", [key], "one")
-    return cut.select(key, "log_ratio", "gumbel_key", F.col("chosen").alias("kept"))
+    cut = ordered_cut(scratch, scored, budgets, "g", "at", named, "one")
+    return cut.select(*named, "log_ratio", "gumbel_key", F.col("chosen").alias("kept"))

@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables, each against its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loomgraph.llm import bpe, importance, linededup, minhash, mixing, queries
 from loomgraph.llm._scratch import Scratch, shared_dir
@@ -34,6 +36,21 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_null_and_repeated_ids(spark, docs_of):
+    """Each row has its own verdict, and of a group of near-duplicates one row stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = docs_of([(None, a), (None, a), (None, b), (7, c), (7, c), (3, b), (None, "w"), (9, None), (9, None)])
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(None, a), (3, b), (7, c), (None, "w"), (9, None), (9, None)]))
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = first.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    kept = importance.resample(spark, docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("kept")
+    got = corpus_pipeline.quality(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    assert 0 < got.filter("doc_id IS NULL").count() == kept.filter("doc_id IS NULL").count() < docs.filter("doc_id IS NULL").count()
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
