@@ -66,6 +66,12 @@ def plan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     """
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(docs.select(F.col(key).alias("k"), F.col(source).alias("g"), n_words(F.col(text)).alias("size")), "sizes")
+    done = _planned(scratch, sizes, ["k", "size"], weights, source, max_repeat, seed)
+    return done.select(F.col("k").alias(key), F.col("g").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _planned(scratch: Scratch, sizes: DataFrame, tie: list[str], weights: DataFrame | None, source: str, max_repeat: int, seed: int) -> DataFrame:
+    """``sizes`` (k, g, size and others) with source_size, target and copies."""
     sources = sizes.groupBy("g").agg(F.sum("size").alias("size"))
     if weights is None:
         sources = cycled_weights(sources, "g")
@@ -83,27 +89,23 @@ def plan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     rows = rows.withColumn("at", F.when(F.col("p") > 0, there / (there + absent)).otherwise(0.0))  # odds ratio q as q / (1 + q)
     left = F.col("target") - F.col("whole") * F.col("source_size")
     budgets = shares.filter("p > 0").select(F.col("_g").alias("g"), left.alias("budget"))
-    partial = ordered_cut(scratch, rows.filter("p > 0"), budgets, "g", "at", ["k", "size"], "size")
+    partial = ordered_cut(scratch, rows.filter("p > 0"), budgets, "g", "at", tie, "size")
     done = partial.unionByName(rows.filter("p = 0").withColumn("chosen", F.lit(False)))
     copies = F.col("whole") + F.col("chosen").cast("long")
-    return done.select(F.col("k").alias(key), F.col("g").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.withColumn("copies", copies)
 
 
-def mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None, max_repeat: int = 3, seed: int = 1) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the plan takes it, with the columns of ``docs``.
 
-    Rows that share key, source and size share the copies planned for them: each gets their mean, rounded up or down
-    by a hash of its text.
+    Rows are numbered and written first, so that each gets the copies planned for it, also among equal rows.
     """
-    p = plan(spark, docs, key, text, source, **how)
-    size = n_words(F.col(text))
-    keyed = p.groupBy(F.col(key).alias("_k"), F.col(source).alias("_g"), F.col("size").alias("_s")).agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_m"))
-    at = docs[key].eqNullSafe(F.col("_k")) & docs[source].eqNullSafe(F.col("_g")) & (size == F.col("_s"))
-    met = docs.join(keyed, at)
-    up = F.pmod(F.xxhash64(text), F.col("_m")) < F.col("_c") % F.col("_m")
-    times = F.floor(F.col("_c") / F.col("_m")).cast("int") + up.cast("int")
-    repeated = met.withColumn("_times", times).filter("_times > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    scratch = Scratch(spark, "mix")
+    numbered = scratch.save(docs.withColumn("_loom_row", F.monotonically_increasing_id()), "numbered")
+    sizes = scratch.save(numbered.select("_loom_row", F.col(key).alias("k"), F.col(source).alias("g"), n_words(F.col(text)).alias("size")), "sizes")
+    done = _planned(scratch, sizes, ["k", "size", "_loom_row"], weights, source, max_repeat, seed)
+    times = done.filter("copies > 0").select("_loom_row", F.col("copies").cast("int").alias("_times"))
+    return numbered.join(times, "_loom_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def plan_sql(seed: int = 1) -> str:

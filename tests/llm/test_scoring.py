@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import hostrules, importance, langid, mixing
 from loomgraph.llm._ordered_cut import ordered_cut
@@ -42,6 +43,14 @@ def test_mixing_against_sql(spark, docs_of):
     compare(mixing.plan(spark, docs), mixing.plan_sql(), {"documents": docs})
 
 
+def test_mix_of_equal_rows(spark, docs_of):
+    """Equal rows get their planned copies, not all the same number."""
+    docs = docs_of([(1, "a b", "en", "a")] * 50 + [(i, "a b c", "en", "b") for i in range(2, 60)])
+    planned = {r["source"]: r["n"] for r in mixing.plan(spark, docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert planned["a"] % 50
+    assert {r["source"]: r["count"] for r in mixing.mix(spark, docs).groupBy("source").count().collect()} == planned
+
+
 def test_mixing_contract(spark, docs_of):
     docs = docs_of(sourced())
     rows = mixing.plan(spark, docs).collect()
