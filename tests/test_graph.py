@@ -11,67 +11,66 @@ from loomgraph.operators.store import GraphStore
 from loomgraph.sources import read_data
 from loomgraph.streaming.ingest import into_store
 
-V, I = "http://plug.example/voc#", "http://plug.example/ind#"
-PLUGINS = f"""
-@prefix v: <{V}> . @prefix i: <{I}> .
-i:one v:name "ONE" ; a v:Plugin ; v:version "3.5.0.2" ; v:released "03-06-2019" ; v:runsOn i:base .
-i:two v:name "TWO" ; a v:Plugin ; v:version "3.5.0.3" ; v:released "05-05-2019" ; i:released "05-05-2021" ; v:runsOn i:base .
-i:base v:name "base" ; a v:Platform , v:Great ; v:version "3.5.5" .
-i:other v:name "other" ; a v:Great ; v:author "JB", "Jay Bee" ; v:version "3.5.5" .
+V, I = "http://garden.example/terms#", "http://garden.example/things#"
+GARDEN = f"""
+@prefix g: <{V}> . @prefix t: <{I}> .
+t:pot a g:Bed , g:Movable ; g:near t:plot7 ; g:storedIn t:shed .
+t:rose g:grows t:plot7 ; a g:Shrub ; g:colour "red" , "pink" , "red" .
+t:plot7 t:area "14 m2" ; g:area "12 m2" ; g:label "sunny corner" ; a g:Bed .
+t:mint g:colour "green" ; g:grows t:pot , t:plot7 .
 """
-PREFIXES = {"v": V, "i": I}
+PREFIXES = {"g": V, "t": I}
+IGNORED = {"vocab_strategy": VocabStrategy.IGNORE}
 
 
-def plugins(spark, **how):
-    return model.of_graph(fold(read_data(spark, PLUGINS), StoreConfig(custom_prefixes=PREFIXES, **how)))
+def garden(spark, **how):
+    return model.of_graph(fold(read_data(spark, GARDEN), StoreConfig(custom_prefixes=PREFIXES, **how)))
 
 
 def test_ignore_overwrite(spark):
-    labels, props, edges = plugins(spark, vocab_strategy=VocabStrategy.IGNORE)
-    assert labels[I + "base"] == {"Resource", "Platform", "Great"}
-    assert len(labels) == 4
-    assert props[I + "two"] == {"name": "TWO", "version": "3.5.0.3", "released": "05-05-2021"}
-    assert props[I + "other"]["author"] == "Jay Bee"
-    assert edges == {(I + "one", "runsOn", I + "base"), (I + "two", "runsOn", I + "base")}
+    """The later of two predicates with one local part wins; a node may be known as a target only."""
+    labels, props, edges = garden(spark, **IGNORED)
+    assert labels == {I + "pot": {"Resource", "Bed", "Movable"}, I + "rose": {"Resource", "Shrub"}, I + "plot7": {"Resource", "Bed"}, I + "mint": {"Resource"}, I + "shed": {"Resource"}}
+    assert props == {I + "plot7": {"area": "12 m2", "label": "sunny corner"}, I + "rose": {"colour": "red"}, I + "mint": {"colour": "green"}}
+    assert edges == {(I + a, e, I + b) for a, e, b in [("pot", "near", "plot7"), ("pot", "storedIn", "shed"), ("rose", "grows", "plot7"), ("mint", "grows", "plot7"), ("mint", "grows", "pot")]}
 
 
 def test_shorten(spark):
-    labels, props, edges = plugins(spark)
-    assert props[I + "two"]["v__released"] == "05-05-2019"
-    assert props[I + "two"]["i__released"] == "05-05-2021"
-    assert {e[1] for e in edges} == {"v__runsOn"}
-    assert labels[I + "one"] == {"Resource", "v__Plugin"}
+    labels, props, edges = garden(spark)
+    assert props[I + "plot7"] == {"t__area": "14 m2", "g__area": "12 m2", "g__label": "sunny corner"}
+    assert {e[1] for e in edges} == {"g__near", "g__storedIn", "g__grows"}
+    assert labels[I + "pot"] == {"Resource", "g__Bed", "g__Movable"}
 
 
 def test_keep_and_map(spark):
-    assert {e[1] for e in plugins(spark, vocab_strategy=VocabStrategy.KEEP)[2]} == {V + "runsOn"}
-    mapped = plugins(spark, vocab_strategy=VocabStrategy.MAP, custom_mappings=[("v", "runsOn", "RUNS_ON"), ("v", "Plugin", "Addon")])
-    assert {e[1] for e in mapped[2]} == {"RUNS_ON"}
-    assert mapped[0][I + "one"] == {"Resource", "Addon"}
-    assert plugins(spark, vocab_strategy=VocabStrategy.MAP, custom_mappings=[("v", "runson", "X")]) == plugins(spark, vocab_strategy=VocabStrategy.IGNORE)
+    assert {e[1] for e in garden(spark, vocab_strategy=VocabStrategy.KEEP)[2]} == {V + "near", V + "storedIn", V + "grows"}
+    mapped = garden(spark, vocab_strategy=VocabStrategy.MAP, custom_mappings=[("g", "grows", "GROWS_IN"), ("g", "Shrub", "Plant")])
+    assert {e[1] for e in mapped[2]} == {"near", "storedIn", "GROWS_IN"}
+    assert mapped[0][I + "rose"] == {"Resource", "Plant"}
+    assert garden(spark, vocab_strategy=VocabStrategy.MAP, custom_mappings=[("g", "Grows", "X")]) == garden(spark, **IGNORED)
 
 
 def test_arrays(spark):
-    many = {"vocab_strategy": VocabStrategy.IGNORE, "multival_strategy": MultivalStrategy.ARRAY}
-    _, props, _ = plugins(spark, **many)
-    assert props[I + "two"]["released"] == ["05-05-2019", "05-05-2021"]
-    assert props[I + "other"]["author"] == ["JB", "Jay Bee"]
-    _, props, _ = plugins(spark, **many, multival_props=[("v", "author")])
-    assert props[I + "other"] == {"name": "other", "version": "3.5.5", "author": ["JB", "Jay Bee"]}
-    assert plugins(spark, vocab_strategy=VocabStrategy.IGNORE, multival_props=[("v", "author")]) == plugins(spark, vocab_strategy=VocabStrategy.IGNORE)
+    many = {**IGNORED, "multival_strategy": MultivalStrategy.ARRAY}
+    _, props, _ = garden(spark, **many)
+    assert props[I + "plot7"] == {"area": ["14 m2", "12 m2"], "label": ["sunny corner"]}
+    assert props[I + "rose"] == {"colour": ["red", "pink"]}
+    _, props, _ = garden(spark, **many, multival_props=[("g", "colour")])
+    assert (props[I + "rose"], props[I + "mint"], props[I + "plot7"]) == ({"colour": ["red", "pink"]}, {"colour": ["green"]}, {"area": "12 m2", "label": "sunny corner"})
+    assert garden(spark, **IGNORED, multival_props=[("g", "colour")]) == garden(spark, **IGNORED)
 
 
 def test_strict_names(spark):
     def commit(text, **how):
-        store = GraphStore(spark, StoreConfig(custom_prefixes={"i": I}, **how), in_memory=True).open()
+        store = GraphStore(spark, StoreConfig(custom_prefixes={"t": I}, **how), in_memory=True).open()
         store.parse(data=text)
         try:
             store.commit()
         finally:
             assert store.num_nodes() == 0
 
-    with pytest.raises(UnknownNamespaceError, match="voc#"):
-        commit(PLUGINS)
+    with pytest.raises(UnknownNamespaceError, match="terms#"):
+        commit(GARDEN)
     with pytest.raises(BadNameError):
         commit("<http://a> <http://x/> 1 .", vocab_strategy=VocabStrategy.IGNORE)
     with pytest.raises(BadNameError):
@@ -141,15 +140,15 @@ def frame(spark, rows, start=0):
 
 
 @pytest.mark.parametrize("strategy", list(VocabStrategy))
-@pytest.mark.parametrize("multi", [{}, {"multival_strategy": MultivalStrategy.ARRAY}, {"multival_strategy": MultivalStrategy.ARRAY, "multival_props": [("v", "p1")]}])
+@pytest.mark.parametrize("multi", [{}, {"multival_strategy": MultivalStrategy.ARRAY}, {"multival_strategy": MultivalStrategy.ARRAY, "multival_props": [("g", "p1")]}])
 def test_against_model(spark, strategy, multi):
-    config = StoreConfig(custom_prefixes=PREFIXES, custom_mappings=[("v", "e1", "LINK")], vocab_strategy=strategy, **multi)
+    config = StoreConfig(custom_prefixes=PREFIXES, custom_mappings=[("g", "e1", "LINK")], vocab_strategy=strategy, **multi)
     rows = random_triples(len(strategy.name) * 10 + len(multi))
     assert model.of_graph(fold(frame(spark, rows).repartition(5), config)) == model.fold(rows, config)
 
 
 def test_batches_give_the_same(spark, tmp_path):
-    config = StoreConfig(custom_prefixes=PREFIXES, multival_strategy=MultivalStrategy.ARRAY, multival_props=[("v", "p1")], vocab_strategy=VocabStrategy.KEEP)
+    config = StoreConfig(custom_prefixes=PREFIXES, multival_strategy=MultivalStrategy.ARRAY, multival_props=[("g", "p1")], vocab_strategy=VocabStrategy.KEEP)
     rows = random_triples(3)
     want = model.fold(rows, config)
     with GraphStore(spark, config, path=str(tmp_path / "g")) as store:
@@ -228,16 +227,17 @@ def test_stream(spark, tmp_path):
 
 
 def test_matches(spark):
-    g = fold(read_data(spark, PLUGINS), StoreConfig(vocab_strategy=VocabStrategy.IGNORE, multival_strategy=MultivalStrategy.ARRAY, multival_props=[]))
-    assert [r["uri"] for r in match.nodes(g).collect()] == sorted(I + n for n in ("one", "two", "base", "other"))
-    assert {r["uri"] for r in match.longer_than(g, "author", 1).collect()} == {I + "other"}
-    assert {r["uri"] for r in match.by_label(g, "Great").collect()} == {I + "base", I + "other"}
-    g = fold(read_data(spark, PLUGINS), StoreConfig(vocab_strategy=VocabStrategy.IGNORE))
-    rows = {tuple(r) for r in match.hop_values(g, "runsOn", ["name"], ["version", "author"]).collect()}
-    assert rows == {(I + "one", I + "base", "ONE", "3.5.5", None), (I + "two", I + "base", "TWO", "3.5.5", None)}
-    t = read_data(spark, PLUGINS)
-    assert match.pattern(t, "?x", V + "runsOn", "?x").count() == 0
-    assert match.describe(t, I + "base").count() == 4 + 2 + 11 - 2
+    g = fold(read_data(spark, GARDEN), StoreConfig(**IGNORED, multival_strategy=MultivalStrategy.ARRAY, multival_props=[]))
+    assert [r["uri"] for r in match.nodes(g).collect()] == sorted(I + n for n in ("pot", "rose", "plot7", "mint", "shed"))
+    assert {r["uri"] for r in match.longer_than(g, "colour", 1).collect()} == {I + "rose"}
+    assert {r["uri"] for r in match.by_label(g, "Bed").collect()} == {I + "pot", I + "plot7"}
+    g = fold(read_data(spark, GARDEN), StoreConfig(**IGNORED))
+    rows = {tuple(r) for r in match.hop_values(g, "grows", ["colour"], ["label", "area"]).collect()}
+    assert rows == {(I + "rose", I + "plot7", "red", "sunny corner", "12 m2"), (I + "mint", I + "plot7", "green", "sunny corner", "12 m2"), (I + "mint", I + "pot", "green", None, None)}
+    t = read_data(spark, GARDEN)
+    assert match.pattern(t, "?x", V + "grows", "?x").count() == 0
+    # four of its own, three links to it, and of the neighbours' literals and types: two of pot, three of rose, one of mint
+    assert match.describe(t, I + "plot7").count() == 4 + 3 + 2 + 3 + 1
 
 
 def test_empty(spark):
