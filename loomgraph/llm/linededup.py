@@ -24,8 +24,8 @@ words with one space between them.
 
 Defined results: a null text stays null and has no lines; an empty text stays empty;
 lines without a word are kept; a run that overlaps its own copy keeps its
-first lines; rows with equal key and text are one document, cleaned alike; null keys
-come first in order; extra columns are kept by :func:`clean`; an empty table gives an
+first lines; repeated rows are documents of their own, in the order of their rows, so the
+later ones are copies; null keys come first in order; extra columns are kept by :func:`clean`; an empty table gives an
 empty table.
 """
 
@@ -38,18 +38,22 @@ from loomgraph.llm._scratch import Scratch
 from loomgraph.llm._text import n_words, n_words_spaced, spaced
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows with the identity of a document: its key and a hash of its text."""
-    return docs.withColumns({"_key": F.col(key), "_hash": F.xxhash64(F.col(text))})
+#: A copy is met with the origin of its run in one of so many parts, so that a run found very often is no hot key.
+_PARTS = 8
+
+
+def _numbered(scratch: Scratch, docs: DataFrame, key: str) -> DataFrame:
+    """Rows with the number ``_row`` and ``_key``, written, so that a row has one number however often it is read."""
+    return scratch.save(docs.withColumns({"_key": F.col(key), "_row": F.monotonically_increasing_id()}), "numbered")
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """One row for each line with a word: key, hash, ord (place among them), raw (place among all lines), h1, h2, words."""
+    """One row for each line with a word: _key, _row, ord (place among them), raw (place among all lines), h1, h2, words."""
     all_lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(spaced(x).alias("line"), i.alias("raw")))
     worded = F.filter(all_lines, lambda x: F.length(x["line"]) > 0)
-    each = docs.select("_key", "_hash", F.posexplode(worded).alias("ord", "x"))
+    each = docs.select("_key", "_row", F.posexplode(worded).alias("ord", "x"))
     line = F.col("x.line")
-    return each.select("_key", "_hash", "ord", F.col("x.raw").alias("raw"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), n_words_spaced(line).cast("int").alias("words"))
+    return each.select("_key", "_row", "ord", F.col("x.raw").alias("raw"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), n_words_spaced(line).cast("int").alias("words"))
 
 
 def _ranked(scratch: Scratch, pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -62,16 +66,16 @@ def _ranked(scratch: Scratch, pairs: DataFrame, a: str, b: str) -> DataFrame:
 def suffix_ranks(scratch: Scratch, lines: DataFrame, depth: int) -> list[DataFrame]:
     """For k = 1, 2, 4, .. up to ``depth``: the suffixes whose first k lines occur twice, with their rank by these.
 
-    Each table has the columns of a suffix (_key, _hash, ord, and at k = 1 raw and words) and ``rank``.
+    Each table has the columns of a suffix (_row, ord, and at k = 1 _key, raw and words) and ``rank``.
     """
     ids = _ranked(scratch, lines, "h1", "h2")
-    levels = [scratch.save(lines.join(ids, ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["_key", "_hash", "ord"]), "suffixes")]
+    levels = [scratch.save(lines.join(ids, ["h1", "h2"]).drop("h1", "h2"), "suffixes")]
     k = 1
     while 2 * k <= depth:
-        order = Window.partitionBy("_key", "_hash").orderBy("ord")
+        order = Window.partitionBy("_row").orderBy("ord")
         ahead = F.lead(F.struct("ord", "rank"), k).over(order)
-        pairs = levels[-1].select("_key", "_hash", "ord", F.col("rank").alias("r1"), ahead.alias("x"))
-        pairs = scratch.save(pairs.filter(F.col("x.ord") == F.col("ord") + k).select("_key", "_hash", "ord", "r1", F.col("x.rank").alias("r2")), "pairs")
+        pairs = levels[-1].select("_row", "ord", F.col("rank").alias("r1"), ahead.alias("x"))
+        pairs = scratch.save(pairs.filter(F.col("x.ord") == F.col("ord") + k).select("_row", "ord", "r1", F.col("x.rank").alias("r2")), "pairs")
         ranks = _ranked(scratch, pairs, "r1", "r2")
         levels.append(scratch.save(pairs.join(ranks, ["r1", "r2"]).drop("r1", "r2"), "suffixes"))
         k *= 2
@@ -79,53 +83,52 @@ def suffix_ranks(scratch: Scratch, lines: DataFrame, depth: int) -> list[DataFra
 
 
 def _windows(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """The shortest runs of enough words that start or that end at a line: _key, _hash, start, m, raws."""
-    seq = Window.partitionBy("_key", "_hash").orderBy("ord")
-    lined = suffixes.select("_key", "_hash", "ord", "raw", "words", (F.sum("words").over(seq) - F.col("words")).alias("upto"))
+    """The shortest runs of enough words that start or that end at a line: _key, _row, start, m, raws."""
+    seq = Window.partitionBy("_row").orderBy("ord")
+    lined = suffixes.select("_key", "_row", "ord", "raw", "words", (F.sum("words").over(seq) - F.col("words")).alias("upto"))
     lined = lined.withColumn("past", F.col("upto") + F.col("words"))
-    forth = Window.partitionBy("_key", "_hash").orderBy("upto").rangeBetween(0, min_words - 1)
-    back = Window.partitionBy("_key", "_hash").orderBy("past").rangeBetween(1 - min_words, 0)
+    forth = Window.partitionBy("_row").orderBy("upto").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("_row").orderBy("past").rangeBetween(1 - min_words, 0)
     runs = []
     for frame in (forth, back):
-        run = lined.select("_key", "_hash", F.min("ord").over(frame).alias("start"), F.max("ord").over(frame).alias("end"), F.sum("words").over(frame).alias("w"), F.collect_list("raw").over(frame).alias("raws"))
+        run = lined.select("_key", "_row", F.min("ord").over(frame).alias("start"), F.max("ord").over(frame).alias("end"), F.sum("words").over(frame).alias("w"), F.collect_list("raw").over(frame).alias("raws"))
         whole = (F.size("raws") == F.col("end") - F.col("start") + 1) & (F.col("w") >= min_words)
-        runs.append(run.filter(whole).select("_key", "_hash", "start", F.size("raws").alias("m"), "raws"))
-    return runs[0].union(runs[1]).dropDuplicates(["_key", "_hash", "start", "m"])
+        runs.append(run.filter(whole).select("_key", "_row", "start", F.size("raws").alias("m"), "raws"))
+    return runs[0].union(runs[1]).dropDuplicates(["_row", "start", "m"])
 
 
-def later_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """Lines to cut: _key, _hash (of the text), cut (sorted places among all lines of the text).
+def later_copies(scratch: Scratch, numbered: DataFrame, text: str = "text", min_words: int = 50) -> DataFrame:
+    """Lines to cut of numbered documents: _row, cut (sorted places among all lines of the text).
 
     Documents without later copies have no row.
     """
-    scratch = Scratch(spark, "linededup")
-    lines = scratch.save(_lines(_identified(docs, key, text), text), "lines")
+    lines = scratch.save(_lines(numbered, text), "lines")
     levels = suffix_ranks(scratch, lines, min_words)
     windows = _windows(levels[0], min_words)
     level = F.floor(F.log2("m")).cast("int")
     windows = scratch.save(windows.withColumns({"level": level, "second": (F.col("start") + F.col("m") - F.pow(F.lit(2), level)).cast("int")}), "windows")
     ranks = None
     for j, table in enumerate(levels):
-        one = table.select("_key", "_hash", "ord", F.lit(j).alias("level"), "rank")
+        one = table.select("_row", "ord", F.lit(j).alias("level"), "rank")
         ranks = one if ranks is None else ranks.union(one)
     # the first and the last 2**level lines of a window, which overlap, stand for all of it
-    same = lambda at, r: (F.col("_key").eqNullSafe(r["_k"])) & (F.col("_hash") == r["_h"]) & (F.col(at) == r["_o"]) & (F.col("level") == r["_l"])
-    first = ranks.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.col("ord").alias("_o"), F.col("level").alias("_l"), F.col("rank").alias("p"))
-    met = windows.join(first, same("start", first)).drop("_k", "_h", "_o", "_l")
-    last = ranks.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.col("ord").alias("_o"), F.col("level").alias("_l"), F.col("rank").alias("q"))
-    met = scratch.save(met.join(last, same("second", last)).drop("_k", "_h", "_o", "_l"), "intervals")
-    origin = met.groupBy("m", "p", "q").agg(F.min(F.struct("_key", "_hash", "start")).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = met.join(origin, ["m", "p", "q"]).filter(~F.struct("_key", "_hash", "start").eqNullSafe(F.col("o")))
-    gone = copies.select("_key", "_hash", F.explode("raws").alias("raw"))
-    cuts = scratch.save(gone.groupBy("_key", "_hash").agg(F.array_sort(F.collect_set("raw")).alias("cut")), "cuts")
-    scratch.keep_only(cuts)
-    return cuts
+    at = lambda start, rank: ranks.select("_row", F.col("ord").alias(start), "level", F.col("rank").alias(rank))
+    met = windows.join(at("start", "p"), ["_row", "start", "level"]).join(at("second", "q"), ["_row", "second", "level"])
+    met = scratch.save(met.withColumn("part", F.pmod(F.xxhash64("_row"), F.lit(_PARTS)).cast("int")), "intervals")
+    origin = met.groupBy("m", "p", "q").agg(F.min(F.struct("_key", "_row", "start")).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    origin = origin.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    copies = met.join(origin, ["m", "p", "q", "part"]).filter((F.col("_row") != F.col("o._row")) | (F.col("start") != F.col("o.start")))
+    gone = copies.select("_row", F.explode("raws").alias("raw"))
+    return scratch.save(gone.groupBy("_row").agg(F.array_sort(F.collect_set("raw")).alias("cut")), "cuts")
 
 
 def clean(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with later copies of runs of lines cut out of ``text``, and ``n_cut``, the number of lines cut."""
-    cuts = later_copies(spark, docs, key, text, min_words).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "cut").hint("merge")  # the same plan at any size
-    met = _identified(docs, key, text).join(cuts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
+    scratch = Scratch(spark, "linededup")
+    numbered = _numbered(scratch, docs, key)
+    cuts = later_copies(scratch, numbered, text, min_words)
+    scratch.keep_only(numbered, cuts)
+    met = numbered.join(cuts.hint("merge"), "_row", "left")  # the same plan at any size
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
     n_cut = F.coalesce(F.size("cut"), F.lit(0)).cast("long")
     return met.select(*(F.when(F.col("cut").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_cut"), F.greatest(n_cut, F.lit(0)).alias("n_cut"))
