@@ -1,8 +1,9 @@
 """Quality rules with verdicts on hosts.
 
-Each document is measured by simple rules. Failures are counted by host, the failure
-rate of each host is shrunk by a beta prior fitted to all hosts by moments, and
-the verdict on a host falls on all of its documents.
+Each document is measured by simple rules. Failures of each rule are counted by host, the failure
+rates of each host are shrunk by a beta prior for each rule, fitted to all hosts by moments net of
+the variance that sampling alone would make, and the verdict on a host falls on all of its
+documents: a host fails if any of its shrunk rates is too high.
 
 Only DataFrame functions are used. The texts are read once; the measures are written,
 and counts by host and the join back read that small table. Counts by host are
@@ -26,6 +27,15 @@ from loomgraph.llm._scratch import Scratch
 from loomgraph.llm._text import BLANKS, spaced, without
 
 SYMBOLS = "#*$%&|<>"
+#: Rules by name: SQL over the measures that is true for a document that fails. The first two are the base rules.
+RULES = {
+    "short": "n_words < 50",
+    "repeats": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "5 * n_symbols > n_words",
+    "lines": "20 * n_dup_lines > n_words",
+    "letters": "word_chars < 2 * n_words",
+}
+BASE = ("short", "repeats")
 
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -56,34 +66,44 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     return five.select(F.col("key").alias(key), F.col("host").alias(host), "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def base_failed(min_words: int = 50, repeat_percent: int = 50) -> Column:
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+def base_failed() -> Column:
+    return F.expr(" OR ".join(RULES[r] for r in BASE))
 
 
-def shrunk_rates(hosts: DataFrame) -> DataFrame:
-    """Add ``rate`` to one row per host with ``n`` and ``failed``.
+def shrunk_rates(hosts: DataFrame, rules: list[str]) -> DataFrame:
+    """Add ``rate_<rule>`` to one row per host with ``n`` and ``failed_<rule>``.
 
-    The beta prior has the mean and variance of the hosts' plain rates; its strength is
-    kept within 1 and 1e6 documents, also where the rates don't vary.
+    A rule's beta prior has the mean m of the hosts' plain rates, and their variance less that of sampling, the
+    mean of m(1 - m)/n; its strength is kept within 1 and 1e6 documents, also where nothing is left of the variance.
     """
-    plain = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(plain).alias("m"), F.var_pop(plain).alias("v"))
-    weight = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1e6))
-    prior = prior.select("m", F.least(F.greatest(weight, F.lit(1.0)), F.lit(1e6)).alias("s"))
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("rate", (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).drop("m", "s")  # the prior is one row
+    plain = {r: F.col(f"failed_{r}") / F.col("n") for r in rules}
+    sums = [x for r in rules for x in (F.avg(plain[r]).alias(f"m_{r}"), F.var_pop(plain[r]).alias(f"v_{r}"))]
+    prior = hosts.agg(F.avg(1 / F.col("n")).alias("noise"), *sums)
+    strengths = []
+    for r in rules:
+        m = F.col(f"m_{r}")
+        net = F.col(f"v_{r}") - m * (1 - m) * F.col("noise")
+        strengths.append(F.least(F.greatest(F.when(net > 0, m * (1 - m) / net - 1).otherwise(F.lit(1e6)), F.lit(1.0)), F.lit(1e6)).alias(f"s_{r}"))
+    prior = prior.select(*(f"m_{r}" for r in rules), *strengths)
+    rates = {f"rate_{r}": (F.col(f"failed_{r}") + F.col(f"m_{r}") * F.col(f"s_{r}")) / (F.col("n") + F.col(f"s_{r}")) for r in rules}
+    met = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
+    return met.select(*hosts.columns, *(x.alias(name) for name, x in rates.items()))
 
 
 def judge(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Per row: key, the five measures, base_failed, kept, host, host_failed.
 
-    A host fails if its shrunk failure rate is above ``max_rate``; a document is kept if
-    neither it nor its host fails.
+    A host fails if its shrunk failure rate by any rule is above ``max_rate``; a document is kept if
+    neither it (by the base rules) nor its host fails.
     """
     scratch = Scratch(spark, "hostrules")
     measured = scratch.save(measures(docs, key, text, host).withColumn("base_failed", base_failed()), "measures")
-    hosts = measured.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    hosts = scratch.save(hosts, "hosts")
-    verdicts = scratch.save(shrunk_rates(hosts).select("_host", (F.col("rate") > max_rate).alias("host_failed")), "verdicts")
+    rules = list(RULES)
+    failures = [F.sum(F.expr(RULES[r]).cast("long")).alias(f"failed_{r}") for r in rules]
+    hosts = scratch.save(measured.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), *failures), "hosts")
+    worst = F.greatest(*(f"rate_{r}" for r in rules))
+    verdicts = scratch.save(shrunk_rates(hosts, rules).select("_host", (worst > max_rate).alias("host_failed")), "verdicts")
+    scratch.keep_only(measured, verdicts)
     met = measured.join(verdicts, F.col(host).eqNullSafe(F.col("_host")))
     return met.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), host, "host_failed")
 
@@ -108,15 +128,17 @@ WITH base AS (
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM split s LEFT JOIN covered c USING (rid)
 ), failing AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+  SELECT *, {base} AS base_failed FROM measured
+), failures AS (
+  {failures}
 ), hosts AS (
-  SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM failing GROUP BY source
+  SELECT source, rule, count(*) AS n, sum(bad::INT) AS failed FROM failures GROUP BY source, rule
 ), prior AS (
-  SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts
+  SELECT rule, m, least(greatest(CASE WHEN v - m * (1 - m) * noise > 0 THEN m * (1 - m) / (v - m * (1 - m) * noise) - 1 ELSE 1e6 END, 1.0), 1e6) AS s
+  FROM (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v, avg(1 / n) AS noise FROM hosts GROUP BY rule)
 ), verdicts AS (
-  SELECT source, (failed + m * s) / (n + s) > 0.5 AS host_failed
-  FROM hosts, (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END, 1.0), 1e6) AS s FROM prior)
+  SELECT source, max((failed + m * s) / (n + s)) > 0.5 AS host_failed FROM hosts JOIN prior USING (rule) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, f.source, host_failed
 FROM failing f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
-"""
+""".replace("{base}", " OR ".join(RULES[r] for r in BASE)).replace("{failures}", " UNION ALL ".join(f"SELECT source, '{r}' AS rule, {x} AS bad FROM failing" for r, x in RULES.items()))
