@@ -1,7 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks, the runs of text between block-level tags, each with
-the path of open elements above it. A block is read as two vectors, the mean of
+the path of open elements above it. Paths are linked from element to element with running
+sums of their vectors, so deep nesting costs no more than the tags there are. A block is read as two vectors, the mean of
 trained vectors of its hashed path parts (tags, classes, ids and their words) and the mean
 of those of its hashed words, and a few numbers (lengths, share of links, signs,
 capitals). A bidirectional LSTM in numpy runs over the blocks of the page, so that the
@@ -10,7 +11,8 @@ makes the weights from generated pages.
 
 Defined results: a null or empty page, and one without main text, gives an empty
 text; broken markup is read as far as it goes, with unclosed elements closed by what
-closes their parents; blocks of any length and number are read whole; repeated
+closes their parents; a slash at the end of a tag closes it only inside svg and math;
+references are decoded in each run of text between two tags; blocks of any length and number are read whole; repeated
 rows and extra columns change nothing; an empty table gives an empty table.
 """
 
@@ -47,16 +49,75 @@ STOPS = frozenset("ul ol dl table select tbody thead tfoot".split())
 #: Elements that can stand inside a paragraph; any other opening tag of a block ends it.
 _IN_PARAGRAPH = INLINE | frozenset("button label input select option textarea script style noscript iframe object svg".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-zA-Z]+")
 
 
+#: Elements in which a slash closes a tag.
+FOREIGN = ("svg", "math")
+
+
+class Element:
+    """An open element: its tag with names, and the element above it. ``sum`` holds the vectors of all parts from the root."""
+
+    __slots__ = ("above", "count", "name", "sum")
+
+    def __init__(self, name: str, above: Element | None):
+        self.name, self.above, self.sum, self.count = name, above, None, 0
+
+
 class Block:
-    __slots__ = ("links", "path", "text")
+    __slots__ = ("links", "node", "text")
+
+    def __init__(self, node: Element | None, text: str, links: int):
+        self.node, self.text, self.links = node, text, links
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names of all elements above the text, the outermost first."""
+        out, node = [], self.node
+        while node is not None:
+            out.append(node.name)
+            node = node.above
+        return tuple(reversed(out))
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag on it."""
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int):
-        self.path, self.text, self.links = path, text, links
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.nodes: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, name: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+        self.nodes.append(Element(name, self.top()))
+        self.tags.append(tag)
+
+    def top(self) -> Element | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost element of these tags, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, k: int) -> None:
+        """Close the element at place ``k`` and all inside it."""
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def block(self) -> int:
+        """Place of the innermost element that isn't inline."""
+        return self.blocks[-1] if self.blocks else -1
 
 
 def _names(tag: str, attributes: str) -> str:
@@ -71,23 +132,20 @@ def _names(tag: str, attributes: str) -> str:
 def parse(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with white space inside turned into one space."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Open()
     parts: list[str] = []
-    link_chars, path = 0, None
+    link_chars, node, begun = 0, None, False
     page = page or ""
     lowered = None
     at = 0
 
     def flush() -> None:
-        nonlocal link_chars, path
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        nonlocal link_chars, node, begun
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            blocks.append(Block(path, text, link_chars))
+            blocks.append(Block(node, text, link_chars))
         parts.clear()
-        link_chars, path = 0, None
-
-    def cut(k: int) -> None:
-        del stack[k:]
+        link_chars, node, begun = 0, None, False
 
     n = len(page)
     while at < n:
@@ -98,10 +156,10 @@ def parse(page: str | None) -> list[Block]:
             text = m[0]
             if text[0] == "<" and len(text) > 1:
                 continue
-            if path is None and not text.isspace():
-                path = tuple(x[1] for x in stack)
-            parts.append(text)
-            if any(x[0] == "a" for x in stack):
+            if not begun and not text.isspace():
+                node, begun = stack.top(), True
+            parts.append(html.unescape(text))
+            if stack.places.get("a"):
                 link_chars += len(text)
             continue
         tag = tag.lower()
@@ -112,27 +170,14 @@ def parse(page: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    cut(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = stack.last(tag)
+            if k >= 0 and (tag not in INLINE or k > stack.block()):
+                stack.cut(k)
             continue
-        if tag not in _IN_PARAGRAPH:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    cut(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    cut(k)
-                    break
-                if stack[k][0] in STOPS:
-                    break
+        if tag not in _IN_PARAGRAPH and (k := stack.block()) >= 0 and stack.tags[k] == "p":
+            stack.cut(k)
+        if tag in CLOSES and (k := stack.last(*CLOSES[tag])) > stack.last(*STOPS):
+            stack.cut(k)
         if tag in RAW:
             if lowered is None:
                 lowered = page.lower()
@@ -142,12 +187,12 @@ def parse(page: str | None) -> list[Block]:
             content = page[at : end if end >= 0 else n]
             at = n if end < 0 else page.find(">", end) + 1 or n
             if tag not in DROPPED and content.strip():
-                path = (*(x[1] for x in stack), _names(tag, attributes))
-                parts.append(content)
+                node = Element(_names(tag, attributes), stack.top())
+                parts.append(html.unescape(content))
                 flush()
             continue
-        if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, _names(tag, attributes)))
+        if tag not in VOID and not (attributes.endswith("/") and (tag in FOREIGN or stack.last(*FOREIGN) >= 0)):
+            stack.push(tag, _names(tag, attributes))
     flush()
     return blocks
 
@@ -156,14 +201,18 @@ def _bucket(x: str, size: int) -> int:
     return zlib.crc32(x.encode("utf-8", "surrogatepass")) % size
 
 
+def _element_words(name: str) -> list[str]:
+    return sorted({name.split(".")[0].split("#")[0].split("@")[0], name, *_PART.findall(name)})
+
+
 def path_buckets(path: tuple[str, ...]) -> list[int]:
     """Buckets of all parts of a path; the two elements next to the text count apart too."""
     out = []
     for depth, element in enumerate(reversed(path)):
-        words = {element.split(".")[0].split("#")[0].split("@")[0], element, *_PART.findall(element)}
-        out += [_bucket(w, PATH_BUCKETS) for w in sorted(words)]
+        words = _element_words(element)
+        out += [_bucket(w, PATH_BUCKETS) for w in words]
         if depth < 2:
-            out += [_bucket(f"{depth}:{w}", PATH_BUCKETS) for w in sorted(words)]
+            out += [_bucket(f"{depth}:{w}", PATH_BUCKETS) for w in words]
     return out or [_bucket("", PATH_BUCKETS)]
 
 
@@ -184,7 +233,8 @@ class Labeller:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: v.astype(np.float32) for k, v in weights.items()}
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        #: Of an element's name: number of its words, sum of their vectors, and these as the first and the second element next to a text.
+        self.names: dict[str, tuple[int, np.ndarray, np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def load(cls) -> Labeller:
@@ -192,17 +242,42 @@ class Labeller:
         with np.load(io.BytesIO(data)) as found:
             return cls(dict(found))
 
+    def _named(self, name: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        known = self.names.get(name)
+        if known is None:
+            words, table = _element_words(name), self.w["path"]
+            sums = [table[[_bucket(mark + w, PATH_BUCKETS) for w in words]].sum(axis=0, dtype=np.float64) for mark in ("", "0:", "1:")]
+            if len(self.names) > 20_000:
+                self.names.clear()
+            self.names[name] = known = (len(words), *sums)
+        return known
+
+    def path_vector(self, node: Element | None) -> np.ndarray:
+        """Mean of the vectors of :func:`path_buckets`, from running sums."""
+        if node is None:
+            return self.w["path"][path_buckets(())].mean(axis=0)
+        new, at = [], node
+        while at is not None and at.sum is None:
+            new.append(at)
+            at = at.above
+        for e in reversed(new):
+            size, own, *_ = self._named(e.name)
+            e.sum, e.count = (own, size) if e.above is None else (e.above.sum + own, e.above.count + size)
+        size, _, first, _ = self._named(node.name)
+        total, count = node.sum + first, node.count + size
+        if node.above is not None:
+            size, _, _, second = self._named(node.above.name)
+            total, count = total + second, count + size
+        return total / count
+
     def vectors(self, blocks: list[Block]) -> np.ndarray:
         """One row for each block: path vector, word vector, numbers."""
         out = np.empty((len(blocks), 2 * WIDTH + NUMBERS), np.float32)
         words = [word_buckets(b.text) for b in blocks]
+        last, known = None, None
         for i, b in enumerate(blocks):
-            known = self.paths.get(b.path)
-            if known is None:
-                known = self.w["path"][path_buckets(b.path)].mean(axis=0)
-                if len(self.paths) > 20_000:
-                    self.paths.clear()
-                self.paths[b.path] = known
+            if known is None or b.node is not last:
+                last, known = b.node, self.path_vector(b.node)
             out[i, :WIDTH] = known
             out[i, 2 * WIDTH :] = numbers(b, i / len(blocks))
         many = np.array([len(x) for x in words])

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -32,6 +33,9 @@ def texts(page):
         ("</div></p>stray<img src=x>", ["stray"]),
         ("<p>İ<script>x</script>y</p><!-- open", ["İ", "y"]),
         ("cut <a href='", ["cut"]),
+        ("<p>&am<b>p;</b> &<i>lt;</i> &am<!-- x -->p;</p>", ["&amp; &lt; &amp;"]),
+        ("<svg><path d='m'/><text>in<g/></text></svg>out", ["in", "out"]),
+        ("<b><p>x</b>y</p>z", ["xy", "z"]),
     ],
 )
 def test_parse(page, want):
@@ -44,6 +48,32 @@ def test_paths_and_links():
     assert found[0].links == 4
 
 
+def test_slash_at_the_end_of_a_tag():
+    """A slash that belongs to a value, or to an element of HTML, leaves the element open."""
+    assert bl.parse("<a href=/x/>link</a> more")[0].links == 4
+    assert bl.parse("<div class=side/>t")[0].path == ("div.side/",)
+    assert bl.parse("<div class='side' />t")[0].path == ("div.side",)
+    assert bl.parse("<svg><g id=a/><text>t")[0].path == ("svg", "text")
+
+
+def test_path_vectors():
+    """Running sums give the mean over all parts of the path."""
+    net = bl.Labeller(train_blocks.initial(3))
+    for b in bl.parse("x<div class='a b' id=c><p>t<b>u</b></p><ul><li>v<li class=d><a role=e>w</a></ul></div><textarea>z</textarea>"):
+        assert np.allclose(net.path_vector(b.node), net.w["path"][bl.path_buckets(b.path)].mean(axis=0), atol=1e-6)
+
+
+@pytest.mark.parametrize("piece", ["<div>x ", "<b>x <i>", "<p><b>y</p></b></u>", "<li>x <a '>", "</p>x<td>"])
+def test_long_pages_are_linear(piece):
+    """Hundreds of thousands of tags that are never closed."""
+    page = "<ul>" + piece * (200_000 // piece.count("<"))
+    began = time.perf_counter()
+    net = bl.Labeller.load()
+    blocks = bl.parse(page)
+    assert len(net.vectors(blocks)) == len(blocks)
+    assert time.perf_counter() - began < 20
+
+
 def test_network_in_plain_steps():
     """The batched network against one block at a time."""
     r = np.random.default_rng(1)
