@@ -5,10 +5,11 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from loomgraph.llm import flatgraph, linededup, minhash
+from loomgraph.llm import flatgraph, linededup, minhash, oracles
 from odd import ROWS
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,7 +75,7 @@ def test_minhash(spark, docs_of, rows):
 
 def test_minhash_rare_buckets(spark, docs_of, monkeypatch):
     """The exact rule for mixed buckets alone, without any round over the bands."""
-    monkeypatch.setattr(minhash, "_BAND_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "_BAND_ROUNDS", ())
     rows = near_copies(3, 120)
     assert sorted(str((r[0], r[1], r[2], r[0] == r[2])) for r in minhash.near_duplicates(spark, docs_of(rows)).collect()) == brute_minhash(rows)
 
@@ -127,11 +128,17 @@ def test_lines(spark, docs_of, min_words):
 
 
 def test_lines_repeated_rows(spark, docs_of):
-    """Rows with equal key and text are one document; a null key comes first."""
+    """Of repeated rows the first stays whole, also by the SQL; a null key comes first."""
     text = "\n".join(f"line {k} of a run" for k in range(12))
-    rows = [(7, text), (7, text), (8, text), (None, text)]
-    got = sorted(map(str, ((r["doc_id"], r["n_cut"]) for r in linededup.clean(spark, docs_of(rows)).collect())))
-    assert got == sorted(map(str, [(None, 0), (7, 12), (7, 12), (8, 12)]))
+    cuts = lambda docs: sorted(map(str, ((r["doc_id"], r["n_cut"]) for r in linededup.clean(spark, docs).collect())))
+    assert cuts(docs_of([(7, text), (7, text), (8, text), (None, text)])) == sorted(map(str, [(None, 0), (7, 12), (7, 12), (8, 12)]))
+    docs = docs_of([(7, text), (7, text), (8, text), (8, "own\n" + text), (8, "own\n" + text), (9, None), (9, None)])
+    assert cuts(docs) == sorted(map(str, [(7, 0), (7, 12), (8, 12), (8, 12), (8, 13), (9, 0), (9, 0)]))
+    given = duckdb.connect()
+    given.register("arrow", docs.toArrow())
+    given.execute("CREATE TABLE documents AS SELECT * FROM arrow")
+    got = linededup.digests(spark, docs)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, given.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.LINEDEDUP})").fetchall()))
     done = linededup.clean(spark, docs_of(ROWS).withColumnRenamed("size", "n_cut"))
     assert sorted(done.columns) == sorted({*docs_of(ROWS).columns, "n_cut"} - {"size"})
     assert done.count() == len(ROWS)
@@ -143,14 +150,14 @@ def test_suffix_ranks_sort_suffixes(spark, docs_of):
     from loomgraph.llm._scratch import Scratch
 
     rows = lined(9, 25)
-    lines = linededup._lines(linededup._identified(docs_of(rows), "doc_id", "text"), "text")
     scratch = Scratch(spark, "test")
+    lines = linededup._lines(linededup._numbered(scratch, docs_of(rows), "doc_id"), "text")
     ids = {}
     for r in lines.collect():
-        ids.setdefault(r["_key"], []).append((r["ord"], (r["h1"], r["h2"])))
+        ids.setdefault(r["_row"], []).append((r["ord"], (r["h1"], r["h2"])))
     ids = {k: [x for _, x in sorted(v)] for k, v in ids.items()}
     for j, level in enumerate(linededup.suffix_ranks(scratch, lines.cache(), 8)):
-        got = sorted((r["rank"], tuple(ids[r["_key"]][r["ord"] : r["ord"] + 2**j])) for r in level.collect())
+        got = sorted((r["rank"], tuple(ids[r["_row"]][r["ord"] : r["ord"] + 2**j])) for r in level.collect())
         assert all((a[0] == b[0]) == (a[1] == b[1]) and a[1] <= b[1] for a, b in zip(got, got[1:]))
 
 
@@ -185,18 +192,40 @@ def vectors(seed, n=300, d=16):
     return [*out, (900, None, 1), (901, [], 1), (902, [0.0] * d, 1), (903, [nan] * d, 1), (904, [inf] + [1.0] * (d - 1), 1), (905, [None] + [1.0] * (d - 1), 1), (906, [1.0] * d, None), (907, [1.0] * d, 1), (907, [1.0] * d, 1), (None, [1.0] * d, 1), (908, [1.0] * 3, 1), (909, [2.0] * 3, 1)]
 
 
-@pytest.mark.parametrize(("shard", "graph"), [(2048, 4096), (40, 30)])
-def test_vectors(spark, monkeypatch, shard, graph):
-    monkeypatch.setattr(flatgraph, "SHARD_ROWS", shard)
-    monkeypatch.setattr(flatgraph, "GRAPH_ROWS", graph)
-    rows = vectors(shard)
+@pytest.mark.parametrize(("region", "cells"), [(4096, 4), (40, 4), (30, 2)])
+def test_vectors(spark, monkeypatch, region, cells):
+    """One region, many regions, and regions that are dealt several times."""
+    monkeypatch.setattr(flatgraph, "REGION_ROWS", region)
+    monkeypatch.setattr(flatgraph, "CELLS", cells)
+    monkeypatch.setattr(flatgraph, "MISSED", 0.0)
+    monkeypatch.setattr(flatgraph, "_DEAL_ROWS", 70)
+    rows = vectors(region)
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, rid int")
     got = flatgraph.near_duplicates(spark, table)
     assert sorted(str((r[0], r[1], r[2], r[0] == r[2])) for r in got.collect()) == brute_vectors(rows)
-    assert flatgraph.audit(spark, table, got, every=1) == 1.0
+    assert flatgraph.audit(spark, table, got) == 1.0
     assert flatgraph.near_duplicates(spark, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [3, 6, 64])
+def test_vectors_of_a_large_label(spark, d):
+    """More rows than two regions hold, with production parameters: all links, counted at both ends."""
+    r = np.random.default_rng(d)
+    x = r.normal(size=(9000, d))
+    if d == 64:
+        x[3000:] = x[r.integers(0, 3000, 6000)] + 0.12 * r.normal(size=(6000, d))
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = flatgraph.near_duplicates(spark, table)
+    unit = flatgraph._unit(x.astype(np.float64))
+    true = np.concatenate([(unit[a : a + 1000] @ unit.T >= 0.98).sum(axis=1) - 1 for a in range(0, 9000, 1000)])
+    found = np.array([n for _, n in sorted((r["vec_id"], r["n_links"]) for r in got.collect())])
+    assert true.sum() > 500
+    assert (found <= true).all()
+    assert found.sum() >= 0.999 * true.sum()
+    assert flatgraph.audit(spark, table, got) >= 0.999
+
+
 def hot_neighbours(copies=200, d=16):
     """Two groups of exact copies at a cosine of 0.985, one more group on the far side of each, and other vectors."""
     r = np.random.default_rng(8)
@@ -209,7 +238,7 @@ def hot_neighbours(copies=200, d=16):
 
 def test_vectors_hot_neighbours(spark, monkeypatch):
     """Groups of copies that draw centres of their own lose no link to their neighbours."""
-    monkeypatch.setattr(flatgraph, "SHARD_ROWS", 40)
+    monkeypatch.setattr(flatgraph, "REGION_ROWS", 40)
     rows = hot_neighbours()
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = flatgraph.near_duplicates(spark, table)
@@ -217,18 +246,39 @@ def test_vectors_hot_neighbours(spark, monkeypatch):
 
 
 def test_cells_hold_all_in_range():
-    """The home of each vector in range is one of a vector's cells, whatever the centres."""
+    """With all cells at hand, the home of each vector in range is one of a vector's cells."""
     r = np.random.default_rng(4)
     for d in (2, 3, 16):
         x = flatgraph._unit(r.normal(size=(600, d)) * r.choice([1, 0.2], size=(1, d)))
         c = x[r.choice(600, 30)]
-        row, cell, home = flatgraph._cells(x, c, 0.98)
-        assert sorted(row[home]) == list(range(600))
-        own = np.zeros((600, 30), bool)
-        own[row, cell] = True
-        at = np.argmax(x @ c.T, axis=1)
+        near, at = flatgraph._cells(x, c, 0.98, 30), np.argmax(x @ c.T, axis=1)
         i, j = np.nonzero(x @ x.T >= 0.98)
-        assert own[i, at[j]].all()
+        assert (near[i] == at[j, None]).any(axis=1).all()
+        few = flatgraph._cells(x, c, 0.98, 4)
+        assert few.shape == (600, 4)
+        assert (few == at[:, None]).any(axis=1).all()
+
+
+def test_search_in_a_region():
+    """Against all pairs: spread out, in groups, and one large group of near copies."""
+    r = np.random.default_rng(1)
+    base = r.normal(size=(100, 32))
+    groups = base[r.integers(0, 100, 1200)] + r.normal(size=(1200, 32)) * r.choice([0.05, 0.2], size=(1200, 1))
+    hot = np.concatenate([base[:1] + 0.1 * r.normal(size=(900, 32)), r.normal(size=(300, 32))])
+    for raw in (r.normal(size=(1500, 3)), groups, hot, base[:1], base[:2]):
+        got, unit = flatgraph.links_within(raw, 0.98), flatgraph._unit(raw)
+        true = unit @ unit.T >= 0.98
+        np.fill_diagonal(true, False)
+        assert (got == got.T).all()
+        assert not (got & ~true).any()
+        assert got.sum() >= 0.999 * true.sum()
+
+
+def test_pairs_are_counted_in_one_cell():
+    near = np.array([[[0, 1, 3]], [[-1, 1, 3]], [[-1, -1, 3]]])
+    i, j = np.array([0, 0, 1]), np.array([1, 2, 2])
+    assert [flatgraph._first_common(near, i, j, [c]).tolist() for c in (0, 1, 3)] == [[False] * 3, [True, False, False], [False, True, True]]
+    assert flatgraph._path((5 + 1) * flatgraph._CENTRES + 1 + 7) == [5, 7]
 
 
 def test_recall_on_given_vectors(spark):
