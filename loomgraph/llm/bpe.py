@@ -19,6 +19,7 @@ import gc
 import hashlib
 import json
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,76 +30,98 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm._scratch import ship
+from loomgraph.llm._worker import lean
 
 #: White space as the tokenizer's ``\\s`` has it (Unicode White_Space).
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(f"[^{_SPACE}]+")
 _ONLY_PYTHON_SPACE = regex.compile("[\x1c-\x1f]")
-_CACHE_CHUNKS = 100_000
-_CACHE_WORDS = 250_000
+#: Bytes of the younger half of a worker's cache, which is reached before it becomes the older half; what an entry takes besides its characters.
+_CACHE_BYTES = 20 << 20
+_ENTRY_BYTES = 200
 _CACHE_CHUNK_CHARS = 64
-_RUN = 1 << 22
+_PAIRS = 100_000
+#: Characters that are worked on at a time; a longer text stands alone.
+_RUN = 1 << 18
 _NEVER = 1 << 62
+_BITS = 9  # of a symbol: the printable characters that stand for bytes, and the word end
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton over sequences of symbols.
 
     After reading a text the automaton is in the state of the longest suffix that
-    occurs in a token, of size n; the tokens that are suffixes of the text are the
-    pairs (length, token) of ``found`` of that state with length <= n, longest first.
+    occurs in a token, of size n. The tokens that are suffixes of the text are found along a
+    chain, longest first: ``best`` of the state, then ``shorter`` of each token; those
+    longer than n don't count.
+
+    All is held flat: ``next`` maps ``state << 9 | symbol`` to a state, for all states in one table.
     """
 
     def __init__(self, tokens: dict[str, int]):
-        self.next: list[dict[str, int]] = [{}]
-        self.link: list[int] = [-1]
-        self.length: list[int] = [0]
+        self.code = {c: i for i, c in enumerate(sorted({c for t in tokens for c in t}))}
+        if len(self.code) >> _BITS:
+            raise ValueError("too many symbols")
+        self.next: dict[int, int] = {}
+        self.link, self.length = [-1], [0]
+        self._out: list[list[int]] = [[]]
+        self._ints = list(range(1 << 10))  # one object for each state's number
         for text in tokens:
             last = 0
             for symbol in text:
-                last = self._extend(last, symbol)
-        self.ends: list[list[tuple[int, int]]] = [[] for _ in self.next]
+                last = self._extend(last, self.code[symbol])
+        del self._out, self._ints
+        top = max(tokens.values(), default=-1) + 1
+        self.wide, self.shorter = [0] * top, [-1] * top
+        ends: list[list[int]] = [[] for _ in self.link]
         for text, token in tokens.items():
             state = 0
             for symbol in text:
-                state = self.next[state][symbol]
-            self.ends[state].append((len(text), token))
-        for found in self.ends:
-            found.sort(reverse=True)
-        # found[s]: tokens that are suffixes of the longest string of state s, longest first
-        self.found: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            above = self.found[self.link[state]]
-            self.found[state] = (*self.ends[state], *above) if self.ends[state] else above
-        del self.ends
-
-    def _extend(self, last: int, symbol: str) -> int:
+                state = self.next[state << _BITS | self.code[symbol]]
+            ends[state].append(token)
+            self.wide[token] = len(text)
+        self.best = [-1] * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            below = self.best[self.link[state]]
+            for token in sorted(ends[state], key=self.wide.__getitem__):
+                self.shorter[token] = below
+                below = token
+            self.best[state] = below
+
+    def _state(self, length: int, link: int) -> int:
+        at = len(self.link)
+        if at == len(self._ints):
+            self._ints += range(at, 2 * at)
+        self.link.append(link)
+        self.length.append(length)
+        self._out.append([])
+        return self._ints[at]
+
+    def _extend(self, last: int, symbol: int) -> int:
         nxt, link, length = self.next, self.link, self.length
-        if symbol in nxt[last]:
-            q = nxt[last][symbol]
+        q = nxt.get(last << _BITS | symbol)
+        if q is not None:
             return q if length[q] == length[last] + 1 else self._clone(last, symbol, q)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        cur = self._state(length[last] + 1, 0)
         p = last
-        while p != -1 and symbol not in nxt[p]:
-            nxt[p][symbol] = cur
+        while p != -1 and p << _BITS | symbol not in nxt:
+            nxt[p << _BITS | symbol] = cur
+            self._out[p].append(symbol)
             p = link[p]
         if p != -1:
-            q = nxt[p][symbol]
+            q = nxt[p << _BITS | symbol]
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, symbol, q)
         return cur
 
-    def _clone(self, p: int, symbol: str, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        twin = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
+    def _clone(self, p: int, symbol: int, q: int) -> int:
+        nxt, link = self.next, self.link
+        twin = self._state(self.length[p] + 1, link[q])
+        for c in self._out[q]:
+            nxt[twin << _BITS | c] = nxt[q << _BITS | c]
+        self._out[twin] = list(self._out[q])
         link[q] = twin
-        while p != -1 and nxt[p].get(symbol) == q:
-            nxt[p][symbol] = twin
+        while p != -1 and nxt.get(p << _BITS | symbol) == q:
+            nxt[p << _BITS | symbol] = twin
             p = link[p]
         return twin
 
@@ -126,76 +149,61 @@ class PrefixBpe:
         self.names |= {i: t for t, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = _byte_alphabet()
+        size = max(max(self.vocab.values()), *self.special.values(), 0) + 1
+        #: For each token the two it is merged from (-1: none) and the number of its merge.
+        self.left, self.right, self.born = (array("i", [-1]) * size for _ in range(3))
+        #: Number of the merge of a pair.
         self.rank: dict[int, int] = {}
-        self.spines: tuple[dict, dict] = ({}, {})
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.born: dict[int, int] = {}
         for n, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, made = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.rank[left << 32 | right] = n
-            if made in self.halves:
+            if self.born[made] >= 0:
                 raise ValueError(f"token {a + b!r} is made by two merges")
-            self.halves[made] = (left, right)
-            self.born[made] = n
-            if max(self.born.get(left, -1), self.born.get(right, -1)) >= n:
+            self.left[made], self.right[made], self.born[made] = left, right, n
+            if max(self.born[left], self.born[right]) >= n:
                 raise ValueError(f"merge {n} comes before its parts")
-        reachable = {t: i for t, i in self.vocab.items() if i in self.halves or len(t.removesuffix(self.suffix) or t) == 1}
+        reachable = {t: i for t, i in self.vocab.items() if self.born[i] >= 0 or len(t.removesuffix(self.suffix) or t) == 1}
         end = "\0"  # stands for the word-end suffix: no byte is mapped to it
         self.end = end
         self.automaton = SuffixAutomaton({(t.removesuffix(self.suffix) + end if self.suffix and t.endswith(self.suffix) and t != self.suffix else t): i for t, i in reachable.items()})
         self.fits: dict[int, bool] = {}
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.cooling: dict[str, tuple[bytes, str]] = {}
-        self.word_cache: dict[str, tuple[bytes, str]] = {}
+        #: Packed ids of chunks, and those of the time before that weren't asked for again.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.single = [struct.pack("<I", i) for i in range(size)]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint text of two tokens gives the two tokens back.
 
-        Only a merge across the border can break them. The tokens that touch the
-        border from the left are the right spine of ``left``, each alive from
-        its own merge to the merge that swallows it; on the right, the left
-        spine of ``right``. A merge of two of them breaks the pair if both are
-        alive when its turn comes. Of two merges with one rank the one further
-        left comes first.
+        Only a merge across the border can break them. Merging is undone step by step, the latest
+        merge first, so that the two tokens at the border at any time are met: each is alive from
+        its own merge to the merge that swallows it. A merge of two of them breaks the pair
+        if both are alive when its turn comes. Of two merges with one rank the
+        one further left comes first.
         """
         key = left << 32 | right
         if (known := self.fits.get(key)) is not None:
             return known
-        ours, theirs = self._spine(left, 1), self._spine(right, 0)
-        fits, i, j, rank = True, 0, 0, self.rank
-        while True:  # over the times at which one token of each spine is alive
-            (a, a_dies), (b, b_dies) = ours[i], theirs[j]
+        fits, rank, born, a, b, a_dies, b_dies = True, self.rank, self.born, left, right, _NEVER, _NEVER
+        while True:
             turn = rank.get(a << 32 | b)
             if turn is not None and turn < a_dies and turn <= b_dies:
                 fits = False
                 break
-            if a_dies <= b_dies:
-                if a_dies == _NEVER:
+            a_born, b_born = born[a], born[b]
+            if b_born >= a_born:
+                if b_born < 0:
                     break
-                i += 1
+                b, b_dies = self.left[b], b_born
             else:
-                j += 1
-        if len(self.fits) > 500_000:
+                a, a_dies = self.right[a], a_born
+        if len(self.fits) >= _PAIRS:
             self.fits.clear()
         self.fits[key] = fits
         return fits
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """Tokens at the end (side 1) or start (side 0) of a token as its merges go on, each with the merge that swallows it."""
-        known = self.spines[side].get(token)
-        if known is None:
-            known, at, dies = [], token, _NEVER
-            while True:
-                known.append((at, dies))
-                if at not in self.halves:
-                    break
-                dies = self.born[at]
-                at = self.halves[at][side]
-            known.reverse()
-            self.spines[side][token] = known
-        return known
-
     def encode_words(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each of the words (pre-tokens as mapped bytes), which are best sorted.
 
@@ -203,7 +211,8 @@ class PrefixBpe:
         the part of a word that differs from the word before is worked out.
         """
         fits, compatible = self.fits, self.compatible
-        nxt, link, sizes, found = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.found
+        nxt, link, sizes, best = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.best
+        code, token_width, shorter = self.automaton.code, self.automaton.wide, self.automaton.shorter
         states, spans, last, width = [0], [0], [-1], [0]
         before_word = ""
         for word in words:
@@ -214,29 +223,31 @@ class PrefixBpe:
             del states[shared + 1 :], spans[shared + 1 :], last[shared + 1 :], width[shared + 1 :]
             state, size, at = states[shared], spans[shared], shared
             before_word = symbols
-            for symbol in symbols[shared:]:
+            for c in symbols[shared:]:
                 at += 1
-                to = nxt[state].get(symbol)
+                symbol = code.get(c, -1)
+                to = nxt.get(state << _BITS | symbol) if symbol >= 0 else None
                 while to is None and state:
                     state = link[state]
                     size = sizes[state]
-                    to = nxt[state].get(symbol)
+                    to = nxt.get(state << _BITS | symbol) if symbol >= 0 else None
                 chosen = wide = -1
                 if to is not None:
                     state, size = to, size + 1
-                    for length, token in found[state]:
-                        if length > size:
-                            continue
-                        if length == at:
-                            chosen, wide = token, length
-                            break
-                        before = last[at - length]
-                        if before < 0:
-                            continue
-                        known = fits.get(before << 32 | token)
-                        if known or known is None and compatible(before, token):
-                            chosen, wide = token, length
-                            break
+                    token = best[state]
+                    while token >= 0:
+                        length = token_width[token]
+                        if length <= size:
+                            if length == at:
+                                chosen, wide = token, length
+                                break
+                            before = last[at - length]
+                            if before >= 0:
+                                known = fits.get(before << 32 | token)
+                                if known or known is None and compatible(before, token):
+                                    chosen, wide = token, length
+                                    break
+                        token = shorter[token]
                 states.append(state)
                 spans.append(size)
                 last.append(chosen)
@@ -259,43 +270,39 @@ class PrefixBpe:
                 return [chunk[:-1], chunk[-1]]
         return self.words.findall(chunk)
 
-    def prepare(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Packed ids and decoded text of chunks without white space; each distinct word is encoded once."""
-        made, cache, cooling = {}, self.cache, self.cooling
+    def prepare(self, chunks: set[str]) -> dict[str, bytes]:
+        """Packed ids of chunks without white space; each distinct word is encoded once."""
+        made, cache, older = {}, self.cache, self.older
         missing = []
         for chunk in chunks:
             hit = cache.get(chunk)
             if hit is None:
-                hit = cooling.get(chunk)
+                hit = older.get(chunk)
                 if hit is None:
                     missing.append(chunk)
                     continue
-                if len(chunk) <= _CACHE_CHUNK_CHARS:
-                    cache[chunk] = hit
+                cache[chunk] = hit
+                self.held += _ENTRY_BYTES + len(chunk)
             made[chunk] = hit
         plain = [c.lower() if c.isascii() else self.normalizer.normalize_str(c) for c in missing]
         split = [self._words_of(c) for c in plain]
         words = {w for parts in split for w in parts}
-        known = {w: hit for w in words if (hit := self.word_cache.get(w))}
-        mapped = {w if w.isascii() and w.isalnum() else w.encode("utf-8").decode("latin-1").translate(self.bytes): w for w in words if w not in known}
-        order, names = sorted(mapped), self.names
-        fresh = {mapped[m]: (struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids])) for m, ids in zip(order, self.encode_words(order))}
-        known |= fresh
-        for chunk, parts in zip(missing, split):
-            found = [known[w] for w in parts]
-            made[chunk] = hit = found[0] if len(found) == 1 else (b"".join([p[0] for p in found]), " ".join([p[1] for p in found]))
-            if len(chunk) <= _CACHE_CHUNK_CHARS:
-                cache[chunk] = hit
-        if len(cache) > _CACHE_CHUNKS:  # what was used lately stays one more turn
-            self.cache, self.cooling = {}, cache
-        if len(self.word_cache) > _CACHE_WORDS:
-            self.word_cache.clear()
-        self.word_cache |= {w: hit for w, hit in fresh.items() if len(w) <= _CACHE_CHUNK_CHARS}
+        mapped = {w if w.isascii() and w.isalnum() else w.encode("utf-8").decode("latin-1").translate(self.bytes): w for w in words}
+        order, single = sorted(mapped), self.single
+        known = {mapped[m]: single[ids[0]] if len(ids) == 1 else struct.pack(f"<{len(ids)}I", *ids) for m, ids in zip(order, self.encode_words(order))}
+        fresh = {c: known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts]) for c, parts in zip(missing, split)}
+        made |= fresh
+        if max(map(len, missing), default=0) > _CACHE_CHUNK_CHARS:
+            fresh = {c: hit for c, hit in fresh.items() if len(c) <= _CACHE_CHUNK_CHARS}
+        cache |= fresh
+        self.held += _ENTRY_BYTES * len(fresh) + sum(map(len, fresh))
+        if self.held > _CACHE_BYTES:  # what was used lately stays one more turn
+            self.cache, self.older, self.held = {}, cache, 0
         return made
 
     def _pieces(self, text: str) -> list[str]:
         """The text's chunks, and special tokens as pieces of their own, after a space."""
-        if self.cut and "<|" in text and self.cut.search(text):
+        if any(x in text for x in self.special):
             out, at = [], 0
             for m in self.cut.finditer(text):
                 out += [*self._chunks(text[at : m.start()]), " " + m[0]]
@@ -307,8 +314,8 @@ class PrefixBpe:
     def _chunks(text: str) -> list[str]:
         return _CHUNK.findall(text) if _ONLY_PYTHON_SPACE.search(text) else text.split()
 
-    def packed(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, list[str]]]:
-        """For each text its ids as little-endian 32-bit integers and its decoded parts."""
+    def packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """For each text its ids as little-endian 32-bit integers."""
         pieces, size = [], 0
         for text in texts:  # runs of bounded size; a longer text ends one
             pieces.append(self._pieces(text or ""))
@@ -318,25 +325,28 @@ class PrefixBpe:
                 pieces, size = [], 0
         yield from self._packed(pieces)
 
-    def _packed(self, pieces: list[list[str]]) -> Iterator[tuple[bytes, list[str]]]:
+    def _packed(self, pieces: list[list[str]]) -> Iterator[bytes]:
         ready = self.prepare({c for p in pieces for c in p if c[0] != " "})
         for content, i in self.special.items():  # no chunk begins with a space
-            ready[" " + content] = (struct.pack("<I", i), content)
+            ready[" " + content] = self.single[i]
         for p in pieces:
-            hits = [ready[c] for c in p]
-            yield b"".join([h[0] for h in hits]), [h[1] for h in hits if h[1]]
+            yield b"".join([ready[c] for c in p])
 
     def digests(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids, SHA-256 of the decoded text."""
-        for ids, parts in self.packed(texts):
-            yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join(parts).encode()).hexdigest()
+        for packed in self.packed(texts):
+            ids = np.frombuffer(packed, "<u4")
+            decoded = hashlib.sha256()
+            for at in range(0, len(ids), _RUN):
+                decoded.update(((" " if at else "") + self.decode(ids[at : at + _RUN].tolist())).encode())
+            yield len(ids), hashlib.sha256(packed).hexdigest(), decoded.hexdigest()
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(next(self.packed([text]))[0], "<u4").tolist()
+        return np.frombuffer(next(self.packed([text])), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings joined by a space: the file names no decoder."""
-        return " ".join(map(self.names.__getitem__, ids))
+        return " ".join([self.names[i] for i in ids])
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -368,13 +378,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def run(batches):
         bpe = coder(path)
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype("int32") for x, _ in bpe.packed(t.as_py() for t in b.column(text))]
+            ids = [np.frombuffer(x, "<u4").astype("int32") for x in bpe.packed(t.as_py() for t in b.column(text))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("int32")
             flat = np.concatenate(ids) if ids else np.zeros(0, "int32")
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], names=[*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -389,7 +399,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
             made = pa.array([bpe.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], names=[*names, out])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,4 +418,4 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             n, a, d = zip(*done) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)

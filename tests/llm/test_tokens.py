@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -40,13 +43,10 @@ def test_compatible_pairs():
     """The border test against merging the joint symbols one merge at a time."""
     mine = bpe.PrefixBpe(WORDS)
     r = random.Random(5)
-    made = sorted(mine.halves)
+    made = [i for i, n in enumerate(mine.born) if n >= 0]
 
     def spell(token):
-        if token not in mine.halves:
-            return [token]
-        a, b = mine.halves[token]
-        return spell(a) + spell(b)
+        return [token] if mine.born[token] < 0 else spell(mine.left[token]) + spell(mine.right[token])
 
     def merge(symbols):
         while True:
@@ -67,14 +67,42 @@ def test_suffix_automaton():
     s = bpe.SuffixAutomaton(tokens)
     for text in ("abababb", "bbaab", "xabab"):
         state = size = 0
-        for at in range(len(text)):
-            while state and text[at] not in s.next[state]:
+        for at, c in enumerate(text):
+            key = lambda: state << 9 | s.code.get(c, 511)  # noqa: B023, E731
+            while state and key() not in s.next:
                 state = s.link[state]
                 size = s.length[state]
-            to = s.next[state].get(text[at])
+            to = s.next.get(key())
             state, size = (0, 0) if to is None else (to, size + 1)
-            found = {t for n, t in (s.found[state] if to is not None else ()) if n <= size}
-            assert found == {i for t, i in tokens.items() if text[: at + 1].endswith(t)}
+            found, token = [], s.best[state]
+            while token >= 0:
+                found += [token] if s.wide[token] <= size else []
+                token = s.shorter[token]
+            assert found == sorted((i for t, i in tokens.items() if text[: at + 1].endswith(t)), key=lambda i: -s.wide[i])
+
+
+_MEMORY = """
+import random, resource, sys
+sys.path.insert(0, {root!r})
+from loomgraph.llm import bpe
+import public_tokenizers
+r = random.Random(3)
+coder = bpe.coder(public_tokenizers.path("word_bpe_49k.json"))
+for _ in range(40):
+    words = ["".join(r.choice("etaoinshrdlucm") for _ in range(r.randrange(4, 12))) for _ in range(10_000)]
+    assert sum(n for n, *_ in coder.digests([" ".join(words[k : k + 500]) for k in range(0, 10_000, 500)])) > 10_000
+held = lambda c: sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items()) + sys.getsizeof(c)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, held(coder.cache) >> 20, held(coder.older) >> 20, len(coder.fits))
+"""
+
+
+def test_memory_is_bounded():
+    """A worker that has seen 400,000 distinct words."""
+    code = _MEMORY.format(root=str(Path(__file__).resolve().parents[2]))
+    peak, young, old, pairs = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split())
+    assert max(young, old) <= 1.5 * (bpe._CACHE_BYTES >> 20)
+    assert pairs <= bpe._PAIRS
+    assert peak < 190
 
 
 def test_bpe_query_shape(docs_of, library):
