@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm._worker import lean
+
 _WIDTH = 256
 _SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.ArrayType(T.LongType()))])
 
@@ -31,7 +33,7 @@ def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, _WIDTH), pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), lists], names=_SCHEMA.names)
 
-    parts = df.mapInArrow(run, _SCHEMA)
+    parts = df.mapInArrow(lean(run), _SCHEMA)
     sums = parts.groupBy("part").agg(F.array(*(F.sum(F.col("n")[i]) for i in range(_WIDTH))).alias("n"))
     out = np.zeros((size // _WIDTH, _WIDTH), np.int64)
     for part, n in sums.collect():

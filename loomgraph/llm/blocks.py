@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomgraph.llm._scratch import ship
+from loomgraph.llm._worker import lean
 
 PATH_BUCKETS, WORD_BUCKETS, WIDTH = 2048, 4096, 16
 NUMBERS = 7
@@ -377,4 +378,4 @@ def main_text(pages: DataFrame, keep: list[str], page: str = "html") -> DataFram
             texts += net.texts(run_of)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return pages.select(*keep, page).mapInArrow(run, schema)
+    return pages.select(*keep, page).mapInArrow(lean(run), schema)

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm._components import components
 from loomgraph.llm._scratch import Scratch, ship
+from loomgraph.llm._worker import lean, release
 
 #: Rows of a region; one of up to half as many more isn't split.
 REGION_ROWS = 4096
@@ -298,6 +299,8 @@ def _search_region(least: float, schema: pa.Schema):
             count += np.bincount(i, copies[j], len(rid)) + np.bincount(j, copies[i], len(rid))
         root = rid[_parts(linked)]
         some = (count > 0) | (root != rid)
+        del linked
+        release()
         return pa.Table.from_arrays([pa.array(rid[some]), pa.array(root[some]), pa.array(count[some].astype(np.int64))], schema=schema)
 
     return run
@@ -434,7 +437,7 @@ def missed(classes: DataFrame, counts: DataFrame, least: float, seed: int = 7) -
             out = {r: n for r, n in out.items() if n}
             yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.int64())], names=["rid", "true"])
 
-    true = classes.select("rid", "label", "dim", "copies", "embedding").mapInArrow(run, "rid long, true long").groupBy("rid").agg(F.sum("true").alias("true"))
+    true = classes.select("rid", "label", "dim", "copies", "embedding").mapInArrow(lean(run), "rid long, true long").groupBy("rid").agg(F.sum("true").alias("true"))
     row = true.join(counts, "rid", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("g")).first()
     return 1 - row["g"] / row["t"] if row["t"] else 0.0
 

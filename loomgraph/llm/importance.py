@@ -30,6 +30,7 @@ from loomgraph.llm import _textvec as tv
 from loomgraph.llm._counts import summed
 from loomgraph.llm._ordered_cut import ordered_cut
 from loomgraph.llm._scratch import Scratch, ship
+from loomgraph.llm._worker import lean
 from loomgraph.llm.mixing import uniform
 
 #: Hash buckets of each model; the last one counts runs of one word.
@@ -117,7 +118,7 @@ def log_ratios(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text:
                 out[lo:hi] = total[offsets[1:]] - total[offsets[:-1]]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(named)], pa.array(out)], names=schema.names)
 
-    return docs.select(*named, F.col(text)).mapInArrow(run, schema)
+    return docs.select(*named, F.col(text)).mapInArrow(lean(run), schema)
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", keep: int | None = None, max_labelled: int = 500_000, seed: int = 1, row: str | None = None) -> DataFrame:
@@ -140,10 +141,11 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str =
     noise = -F.log(-F.log((uniform(F.col(key), seed) * float((1 << 52) - 2) + 1) / float(1 << 52)))
     scored = scored.withColumn("gumbel_key", F.col("log_ratio") + noise)
     z = F.col("gumbel_key")
-    scored = scratch.save(scored.withColumns({"at": (1 - z / (1 + F.abs(z))) / 2, "one": F.lit(1).cast("long"), "g": F.lit(0)}), "scored")
+    scored = scratch.save(scored.withColumns({"at": (1 - z / (1 + F.abs(z))) / 2, "one": F.lit(1).cast("long"), "g": F.lit(0), "apart": uniform(F.concat_ws(":", *named), seed + 2)}), "scored")
     if keep is None:
         n, share = scored.count(), known.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
         keep = n if share is None else round(n * share)
     budgets = spark.range(1).select(F.lit(0).alias("g"), F.lit(float(keep)).alias("budget"))
-    cut = ordered_cut(scratch, scored, budgets, "g", "at", named, "one")
+    cut = ordered_cut(scratch, scored, budgets, "g", ["at", "apart"], "one")
+    scratch.keep_only(scored, *scratch.named("last"))
     return cut.select(*named, "log_ratio", "gumbel_key", F.col("chosen").alias("kept"))

@@ -20,11 +20,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm._scratch import ship
+from loomgraph.llm._worker import lean
 from loomgraph.llm.mixing import uniform
 
 PROFILE = 600
@@ -81,7 +82,7 @@ def held_out(key: Column) -> Column:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
-    """The profile of each language: n-gram codes, most frequent first. Languages are few; each costs one top-k query."""
+    """The profile of each language: n-gram codes, most frequent first. A profile has ``size`` n-grams at most, and languages are few."""
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -100,12 +101,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(np.bincount(where, n).astype(np.int64))], names=schema.names)
 
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang).cast("string").alias("lang"))
-    counts = rows.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        names = sorted(r[0] for r in counts.select("lang").distinct().collect())
-        return {name: [r[0] for r in counts.filter(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).select("gram").collect()] for name in names}
-    finally:
-        counts.unpersist()
+    counts = rows.mapInArrow(lean(run), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    profiles: dict[str, list[int]] = {}
+    for name, gram in counts.withColumn("place", place).filter(F.col("place") <= size).orderBy("lang", "place").select("lang", "gram").collect():
+        profiles.setdefault(name, []).append(gram)
+    return profiles
 
 
 class Ranker:
@@ -160,7 +161,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
                     scores.append(score)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_learned: int = 4000, seed: int = 1) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm._scratch import ship
+from loomgraph.llm._worker import lean
 
 _MARK = "▁"  # stands for a space in pieces
 _PRE_TOKEN = re.compile(f"{_MARK}+[^{_MARK}]*")
@@ -90,5 +91,5 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=schema.names)
 
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes")
-    counted = docs.select(F.col(key), size, F.col(text)).mapInArrow(run, schema)
+    counted = docs.select(F.col(key), size, F.col(text)).mapInArrow(lean(run), schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
