@@ -34,24 +34,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm._scratch import Scratch
+from loomgraph.llm._scratch import Scratch, numbered
 from loomgraph.llm._text import n_words, n_words_spaced, spaced
 
 
 #: A copy is met with the origin of its run in one of so many parts, so that a run found very often is no hot key.
 _PARTS = 8
+#: The number of a document's row.
+ROW = "_loom_row"
 
 
-def _numbered(scratch: Scratch, docs: DataFrame, key: str) -> DataFrame:
-    """Rows with the number ``_row`` and ``_key``, written, so that a row has one number however often it is read."""
-    return scratch.save(docs.withColumns({"_key": F.col(key), "_row": F.monotonically_increasing_id()}), "numbered")
-
-
-def _lines(docs: DataFrame, text: str) -> DataFrame:
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each line with a word: _key, _row, ord (place among them), raw (place among all lines), h1, h2, words."""
     all_lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(spaced(x).alias("line"), i.alias("raw")))
     worded = F.filter(all_lines, lambda x: F.length(x["line"]) > 0)
-    each = docs.select("_key", "_row", F.posexplode(worded).alias("ord", "x"))
+    each = docs.select(F.col(key).alias("_key"), F.col(ROW).alias("_row"), F.posexplode(worded).alias("ord", "x"))
     line = F.col("x.line")
     return each.select("_key", "_row", "ord", F.col("x.raw").alias("raw"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), n_words_spaced(line).cast("int").alias("words"))
 
@@ -97,12 +94,12 @@ def _windows(suffixes: DataFrame, min_words: int) -> DataFrame:
     return runs[0].union(runs[1]).dropDuplicates(["_row", "start", "m"])
 
 
-def later_copies(scratch: Scratch, numbered: DataFrame, text: str = "text", min_words: int = 50) -> DataFrame:
-    """Lines to cut of numbered documents: _row, cut (sorted places among all lines of the text).
+def later_copies(scratch: Scratch, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+    """Lines to cut of documents numbered by ``ROW``: _row, cut (sorted places among all lines of the text).
 
     Documents without later copies have no row.
     """
-    lines = scratch.save(_lines(numbered, text), "lines")
+    lines = scratch.save(_lines(docs, key, text), "lines")
     levels = suffix_ranks(scratch, lines, min_words)
     windows = _windows(levels[0], min_words)
     level = F.floor(F.log2("m")).cast("int")
@@ -125,13 +122,14 @@ def later_copies(scratch: Scratch, numbered: DataFrame, text: str = "text", min_
 def clean(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with later copies of runs of lines cut out of ``text``, and ``n_cut``, the number of lines cut."""
     scratch = Scratch(spark, "linededup")
-    numbered = _numbered(scratch, docs, key)
-    cuts = later_copies(scratch, numbered, text, min_words)
-    scratch.keep_only(numbered, cuts)
-    met = numbered.join(cuts.hint("merge"), "_row", "left")  # the same plan at any size
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
-    n_cut = F.coalesce(F.size("cut"), F.lit(0)).cast("long")
-    return met.select(*(F.when(F.col("cut").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_cut"), F.greatest(n_cut, F.lit(0)).alias("n_cut"))
+    rows = numbered(scratch, docs, ROW)
+    cuts = later_copies(scratch, rows, key, text, min_words)
+    scratch.keep_only(cuts)
+    met = rows.join(cuts.hint("merge").select(F.col("_row").alias(ROW), F.col("cut").alias("_loom_cut")), ROW, "left")  # the same plan at any size
+    cut = F.col("_loom_cut")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(cut, i)), "\n")
+    n_cut = F.coalesce(F.size(cut), F.lit(0)).cast("long")
+    return met.select(*(F.when(cut.isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_cut"), F.greatest(n_cut, F.lit(0)).alias("n_cut"))
 
 
 def digests(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
