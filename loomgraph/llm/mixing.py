@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source has a target of words. A document's expected number of copies is its
-source's target over the source's size. The whole part is certain; the rest is
-the inclusion probability p of one more copy. Documents of a source are ranked
-by random odds over inclusion odds, u/(1-u) over p/(1-p), and taken in that order
-until the words left of the target are filled (see ``_ordered_cut``). Random
-numbers are digests of the key, so reruns agree.
+source's target over the source's size. The whole part is certain; the rest p
+gives the odds of one more copy. They are p/(1-p), times 2m/(m + size) with the source's
+mean size m: of one more copy long documents get less and short ones more, so
+that the sample has more documents and doesn't hang on a few long ones. Documents of a
+source are ranked by random odds over inclusion odds, and taken in that order
+until the words left of the target are filled (see ``_ordered_cut``): the size of the
+sample is fixed in words. Random numbers are digests of the key, so reruns agree.
 
 Only DataFrame functions are used. Word counts are made in one pass over the
 texts and written; all that follows reads that small table. Rows of a source are
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm._ordered_cut import ordered_cut
-from loomgraph.llm._scratch import Scratch
+from loomgraph.llm._scratch import Scratch, numbered
 from loomgraph.llm._text import n_words
 
 def uniform(key: Column, seed: int) -> Column:
@@ -34,14 +36,13 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def targets(sources: DataFrame, source: str = "source", max_repeat: int = 3) -> DataFrame:
-    """Add ``target`` to one row per source with ``size`` (long) and ``weight``.
+    """Add ``target`` to one row per source with ``size`` (long), ``weight`` and any other columns.
 
     All sizes are shared by weight; a target stops at ``max_repeat`` times its source's
     size, and the excess is shared again by weight until none is above. Sources are
     capped in the order of cap over weight. The table has one row for each source.
     """
-    cap = (F.col("size") * max_repeat).alias("cap")
-    rows = sources.select(source, "size", "weight", cap)
+    rows = sources.withColumn("cap", F.col("size") * max_repeat)
     everything = Window.partitionBy(F.lit(0))
     order = everything.orderBy(F.col("cap") / F.col("weight"), F.col(source).asc_nulls_last())
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -50,7 +51,7 @@ def targets(sources: DataFrame, source: str = "source", max_repeat: int = 3) ->
     rows = rows.withColumn("capped", capped)
     rows = rows.withColumns({"used": F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(everything), "open": F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(everything)})
     share = (F.col("total") - F.col("used")).cast("double") * F.col("weight") / F.col("open")
-    return rows.select(source, "size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
+    return rows.select(*sources.columns, F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def cycled_weights(sources: DataFrame, source: str = "source", cycle: int = 3) -> DataFrame:
@@ -66,30 +67,37 @@ def plan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     """
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(docs.select(F.col(key).alias("k"), F.col(source).alias("g"), n_words(F.col(text)).alias("size")), "sizes")
-    done = _planned(scratch, sizes, ["k", "size"], weights, source, max_repeat, seed)
+    done = _planned(scratch, sizes, [], weights, source, max_repeat, seed)
+    scratch.keep_only(sizes, *scratch.named("shares"), *scratch.named("last"))
     return done.select(F.col("k").alias(key), F.col("g").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _planned(scratch: Scratch, sizes: DataFrame, tie: list[str], weights: DataFrame | None, source: str, max_repeat: int, seed: int) -> DataFrame:
-    """``sizes`` (k, g, size and others) with source_size, target and copies."""
-    sources = sizes.groupBy("g").agg(F.sum("size").alias("size"))
+def _planned(scratch: Scratch, sizes: DataFrame, more: list[str], weights: DataFrame | None, source: str, max_repeat: int, seed: int) -> DataFrame:
+    """``sizes`` (k, g, size and the columns ``more``, which tell equal rows apart) with source_size, target and copies."""
+    sources = sizes.groupBy("g").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     if weights is None:
         sources = cycled_weights(sources, "g")
     else:
         w = weights.select(F.col(source).alias("_g"), "weight")
         sources = sources.join(w, sources["g"].eqNullSafe(w["_g"])).drop("_g")
     ratio = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
-    shares = targets(sources, "g", max_repeat).select(F.col("g").alias("_g"), F.col("size").alias("source_size"), "target", ratio.alias("ratio"))
+    shares = targets(sources, "g", max_repeat).select(F.col("g").alias("_g"), F.col("size").alias("source_size"), "target", ratio.alias("ratio"), (F.col("size") / F.col("n")).alias("mean"))
     shares = shares.withColumn("whole", F.floor("ratio").cast("long")).withColumn("p", F.col("ratio") - F.col("whole"))
     shares = scratch.save(shares, "shares")
 
     rows = sizes.join(shares, sizes["g"].eqNullSafe(shares["_g"])).drop("_g")
-    rows = rows.withColumn("u", uniform(F.col("k"), seed))
-    there, absent = F.col("u") * (1 - F.col("p")), F.col("p") * (1 - F.col("u"))
+    rows = rows.withColumn("u", uniform(F.col("k"), seed)).withColumn("odds", 2.0 * F.col("mean") / (F.col("mean") + F.col("size")))
+    there, absent = F.col("u") * (1 - F.col("p")), F.col("p") * F.col("odds") * (1 - F.col("u"))
     rows = rows.withColumn("at", F.when(F.col("p") > 0, there / (there + absent)).otherwise(0.0))  # odds ratio q as q / (1 + q)
+    sized = F.concat(F.coalesce(F.col("k").cast("string"), F.lit("")), F.lit(":"), F.col("size"))
+    rows = rows.withColumn("by_size", uniform(sized, seed))
+    order = ["at", "by_size"]
+    if more:
+        rows = rows.withColumn("by_row", uniform(F.concat_ws(":", *more), seed))
+        order.append("by_row")
     left = F.col("target") - F.col("whole") * F.col("source_size")
     budgets = shares.filter("p > 0").select(F.col("_g").alias("g"), left.alias("budget"))
-    partial = ordered_cut(scratch, rows.filter("p > 0"), budgets, "g", "at", tie, "size")
+    partial = ordered_cut(scratch, rows.filter("p > 0"), budgets, "g", order, "size")
     done = partial.unionByName(rows.filter("p = 0").withColumn("chosen", F.lit(False)))
     copies = F.col("whole") + F.col("chosen").cast("long")
     return done.withColumn("copies", copies)
@@ -98,14 +106,15 @@ def _planned(scratch: Scratch, sizes: DataFrame, tie: list[str], weights: DataFr
 def mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None, max_repeat: int = 3, seed: int = 1) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the plan takes it, with the columns of ``docs``.
 
-    Rows are numbered and written first, so that each gets the copies planned for it, also among equal rows.
+    Rows are numbered, so that each gets the copies planned for it, also among equal rows.
     """
     scratch = Scratch(spark, "mix")
-    numbered = scratch.save(docs.withColumn("_loom_row", F.monotonically_increasing_id()), "numbered")
-    sizes = scratch.save(numbered.select("_loom_row", F.col(key).alias("k"), F.col(source).alias("g"), n_words(F.col(text)).alias("size")), "sizes")
-    done = _planned(scratch, sizes, ["k", "size", "_loom_row"], weights, source, max_repeat, seed)
+    rows = numbered(scratch, docs, "_loom_row")
+    sizes = scratch.save(rows.select("_loom_row", F.col(key).alias("k"), F.col(source).alias("g"), n_words(F.col(text)).alias("size")), "sizes")
+    done = _planned(scratch, sizes, ["_loom_row"], weights, source, max_repeat, seed)
+    scratch.keep_only(sizes, *scratch.named("shares"), *scratch.named("last"))
     times = done.filter("copies > 0").select("_loom_row", F.col("copies").cast("int").alias("_times"))
-    return numbered.join(times, "_loom_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return rows.join(times, "_loom_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def plan_sql(seed: int = 1) -> str:
@@ -114,7 +123,7 @@ def plan_sql(seed: int = 1) -> str:
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) / count(*) AS mean,
          (row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1 AS weight
   FROM sized GROUP BY source
 ), ordered AS (
@@ -125,7 +134,7 @@ WITH RECURSIVE sized AS (
 ), flagged AS (
   SELECT *, CAST(total - prior AS DOUBLE) * weight > CAST(cap AS DOUBLE) * rest AS capped FROM ordered
 ), shared AS (
-  SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE)
+  SELECT source, source_size, mean, CASE WHEN capped THEN CAST(cap AS DOUBLE)
     ELSE CAST(total - CAST(sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS BIGINT) AS DOUBLE) * weight
          / CAST(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS BIGINT) END AS target
   FROM flagged
@@ -134,14 +143,15 @@ WITH RECURSIVE sized AS (
 ), shares AS (
   SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS p FROM parts
 ), drawn AS (
-  SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.whole, s.p, s.target - s.whole * s.source_size AS budget,
-         CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.whole, s.p, 2.0 * s.mean / (s.mean + d.size) AS odds, s.target - s.whole * s.source_size AS budget,
+         CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u,
+         substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.size), 1, 12) AS by_size
   FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
 ), placed AS (
-  SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) ELSE 0.0 END AS pos FROM drawn
+  SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + p * odds * (1 - u)) ELSE 0.0 END AS pos FROM drawn
 ), ranked AS (
   SELECT *, row_number() OVER w AS rn, CAST(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS before
-  FROM placed WINDOW w AS (PARTITION BY source ORDER BY pos, doc_id NULLS FIRST, size)
+  FROM placed WINDOW w AS (PARTITION BY source ORDER BY floor(pos * 281474976710656.0), by_size, doc_id NULLS FIRST, size)
 ), stops AS (
   SELECT source, min(rn) AS stop FROM ranked WHERE p > 0 AND size > budget - before GROUP BY source
 ), walk(source, rn, stop, space) AS (

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import hostrules, importance, langid, mixing
+from loomgraph.llm import hostrules, importance, langid, mixing, queries
 from loomgraph.llm._ordered_cut import ordered_cut
 from loomgraph.llm._scratch import Scratch
 from odd import ROWS
@@ -67,6 +67,26 @@ def test_mixing_contract(spark, docs_of):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_inclusion_odds(spark, docs_of):
+    """One more copy is likelier for a short document than for a long one, at odds of (m + long) over (m + short)."""
+    docs = docs_of([(i, "w " * (10 if i % 2 else 200), "en", "a") for i in range(3000)] + [(9000 + i, "w " * 100, "en", "b") for i in range(9000)])
+    rows = [r for r in mixing.plan(spark, docs, weights=spark.createDataFrame([("a", 1), ("b", 6)], "source string, weight int")).collect() if r["source"] == "a"]
+    assert {r["copies"] for r in rows} == {0, 1}
+    chance = [sum(r["copies"] for r in rows if r["size"] == n) / 1500 for n in (10, 200)]
+    odds = [c / (1 - c) for c in chance]
+    assert odds[0] / odds[1] == pytest.approx((105 + 200) / (105 + 10), rel=0.25)
+
+
+def test_null_keys_are_parted(spark, docs_of):
+    """Rows without a key share a random number; a share of them is taken all the same."""
+    docs = docs_of([(None, "w " * (1 + i % 90), "en", "a") for i in range(4000)] + [(i, "w " * 50, "en", "b") for i in range(9000)])
+    weights = spark.createDataFrame([("a", 1), ("b", 7)], "source string, weight int")
+    planned, mixed = mixing.plan(spark, docs, weights=weights).filter("source = 'a'"), mixing.mix(spark, docs, weights=weights).filter("source = 'a'")
+    row = planned.agg(F.sum("taken").alias("t"), F.first("target").alias("w")).first()
+    assert abs(row["t"] - row["w"]) <= 45
+    assert 0 < mixed.count() == planned.agg(F.sum("copies")).first()[0] < 4000
+
+
 def test_mix_rows(spark, docs_of):
     docs = docs_of(sourced())
     mixed = mixing.mix(spark, docs)
@@ -86,17 +106,17 @@ def test_targets(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_ordered_cut(spark, seed, monkeypatch):
+def test_ordered_cut(spark, seed):
     """Against taking rows one by one, with many rows in few bins."""
     r = random.Random(seed)
-    rows = [(r.choice("xyz"), r.choice([r.random(), 0.25, r.random() * 1e-7]), i, r.choice([0, 1, 7, 50])) for i in range(6000)]
+    rows = [(r.choice("xyz"), r.choice([r.random(), 0.25, r.random() * 1e-7]), r.random(), i, r.choice([0, 1, 7, 50])) for i in range(6000)]
     budgets = {"x": 0.0, "y": 777.5, "z": 1e9}
-    df = spark.createDataFrame(rows, "g string, at double, id long, size long")
-    got = {x["id"]: x["chosen"] for x in ordered_cut(Scratch(spark, "t"), df, spark.createDataFrame(list(budgets.items()), "g string, budget double"), "g", "at", ["id"], "size").collect()}
+    df = spark.createDataFrame(rows, "g string, at double, also double, id long, size long")
+    got = {x["id"]: x["chosen"] for x in ordered_cut(Scratch(spark, "t"), df, spark.createDataFrame(list(budgets.items()), "g string, budget double"), "g", ["at", "also"], "size").collect()}
     want = {}
     for g, left in budgets.items():
         tries, vain = 0, []
-        for _, _, i, size in sorted((x for x in rows if x[0] == g), key=lambda x: (x[1], x[2])):
+        for *_, i, size in sorted((x for x in rows if x[0] == g), key=lambda x: (math.floor(x[1] * 2**48), math.floor(x[2] * 2**48))):
             fits = tries < 64 and size <= left
             if not fits and tries < 64:
                 vain.append((size, len(vain), i))
@@ -108,6 +128,17 @@ def test_ordered_cut(spark, seed, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize(("size", "budget", "want"), [(3, 1_000_000.0, 333_333), (1, 250_000.0, 250_000), (7, 7e9, 1_000_000), (0, 5.0, 1_000_000)])
+def test_ordered_cut_of_equal_keys(spark, size, budget, want):
+    """A million rows with one key: told apart by a later number, or equal and counted."""
+    rows = spark.range(1_000_000).select(F.lit("g").alias("g"), F.lit(0.5).alias("at"), F.lit(size).cast("long").alias("size"), "id")
+    budgets = spark.createDataFrame([("g", budget)], "g string, budget double")
+    apart = rows.withColumn("also", mixing.uniform(F.col("id"), 1))
+    for order, given in ((["at", "also"], apart), (["at"], rows.drop("id"))):
+        got = ordered_cut(Scratch(spark, "t"), given, budgets, "g", order, "size")
+        assert (got.filter("chosen").count(), got.count()) == (want, 1_000_000)
+
+
 def test_hostrules_against_sql(spark, docs_of):
     compare(hostrules.judge(spark, spark.read.parquet(f"{SF}/documents.parquet")), hostrules.SQL, {"documents": f"{SF}/documents.parquet"})
     r = random.Random(8)
@@ -121,6 +152,25 @@ def test_hostrules_against_sql(spark, docs_of):
     assert hostrules.judge(spark, docs.limit(0)).count() == 0
 
 
+def test_failing_hosts(spark, docs_of, tmp_path):
+    """The registered query where hosts fail, each by a rule of its own; few failures of a small host aren't enough."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(n))
+    good = [(i, prose(80), "en", f"good{i % 12}") for i in range(240)]
+    symbols = [(1000 + i, " ".join(f"{w} #" for w in prose(60).split()), "en", "symbols") for i in range(30)]
+    lines = [(2000 + i, "\n".join([f"{prose(7)}\nsame here"] * 1 + ["same here", prose(9)] * 9), "en", "lines") for i in range(30)]
+    letters = [(3000 + i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90)), "en", "letters") for i in range(30)]
+    short = [(4000 + i, prose(12 if i % 10 else 90), "en", "short") for i in range(30)]
+    small = [(5000, prose(10), "en", "small"), (5001, prose(90), "en", "small")]
+    docs = docs_of([*good, *symbols, *lines, *letters, *short, *small])
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_hostrules(spark, str(tmp_path))
+    compare(got, hostrules.SQL, {"documents": docs})
+    assert {x["source"] for x in got.filter("host_failed").select("source").distinct().collect()} == {"symbols", "lines", "letters", "short"}
+    assert got.filter("kept AND source LIKE 'good%'").count() == 240
+    assert got.filter("NOT base_failed AND NOT kept").count() == 30 + 30 + 3
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
