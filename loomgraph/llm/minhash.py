@@ -8,9 +8,11 @@ documents of similarity 0.75 miss all 40 bands with a chance below 1e-6.
 Documents with equal shingle sets form a class, and classes are linked. A bucket
 doesn't emit its pairs. In rounds, a pivot of each bucket is compared with the
 members that are not yet in the pivot's component; buckets within one component are
-done, so a group of copies costs a comparison for each member.
+done. The first round takes a few bands only, so that a member of a group of copies meets
+its pivot in a few buckets and not in all 40; the second takes what is still mixed in
+all of them.
 
-Buckets that are still mixed after two rounds hold documents that share a passage
+Buckets that are still mixed after these rounds hold documents that share a passage
 and little else. Their documents are dealt anew by an exact rule: sorted from rare
 to common shingles, two documents of similarity 0.75 share one of the first
 n - ceil(0.75 n) + 1 of the larger and the first n - ceil(6/7 n) + 1 of the
@@ -37,14 +39,15 @@ from loomgraph.llm import _textvec as tv
 from loomgraph.llm._components import components
 from loomgraph.llm._counts import summed
 from loomgraph.llm._scratch import Scratch, ship
+from loomgraph.llm._worker import lean
 
 _ROWS = 4
 _PERMUTATIONS = 80
 _FLIP = tv.stream(_PERMUTATIONS, 11)
 _TIMES = tv.stream(_PERMUTATIONS, 12) | np.uint64(1)
 _SALT = tv.stream(2 * _PERMUTATIONS // _ROWS, 13)
-#: Rounds over the buckets of the bands, before the rest is dealt anew. The first joins all copies near to a pivot.
-_BAND_ROUNDS = 2
+#: Bands of each round over their buckets, before the rest is dealt anew.
+_BAND_ROUNDS = (4, 40)
 _COUNTERS = 1 << 18
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
 _BROADCAST_KEYS = 1_000_000
@@ -111,7 +114,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                 made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one), pa.array(two), made], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -129,7 +132,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
                 made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one), pa.array(two), made], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -142,7 +145,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     grouped = signed.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
     classes = scratch.save(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    each = classes.select("cid", "n", F.explode("bands").alias("bucket"), F.lit(0).alias("pos"), F.lit(True).alias("short"))
+    each = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket")).select("cid", "n", "bucket", "band", F.lit(0).alias("pos"), F.lit(True).alias("short"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
     members = scratch.save(each.join(shared, "bucket"), "members")
     linked = None
@@ -176,8 +179,11 @@ def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
     A pair is asked for if, at the overlap its sizes need, the bucket's shingle is early enough (``pos``) in both.
     ``short`` marks where that can be so for the smaller of two.
     """
-    comp, pivots_wanted, turn, asked = None, 1, 0, []
+    comp, pivots_wanted, turn, asked, later = None, 1, 0, None, None
     while True:
+        if turn < len(_BAND_ROUNDS):
+            # a bucket's members are all of one band: later bands wait
+            members, later = members.filter(F.col("band") < _BAND_ROUNDS[turn]), members.filter(F.col("band") >= _BAND_ROUNDS[turn])
         if comp is None:
             placed = members.withColumn("comp", F.col("cid"))
         else:
@@ -185,9 +191,9 @@ def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
         placed = scratch.save(placed, "placed")
         mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).filter("lo < hi AND any").select("bucket")
         live = scratch.save(placed.join(mixed, "bucket", "left_semi"), "live")
-        if live.isEmpty():
+        if turn >= len(_BAND_ROUNDS) and live.isEmpty():
             return comp
-        if turn == _BAND_ROUNDS:
+        if turn == len(_BAND_ROUNDS):
             left = live.select("cid").distinct()
             members, turn = scratch.save(_rare_buckets(sets.join(left, "cid", "left_semi"), percent), "rare"), turn + 1
             continue
@@ -199,21 +205,22 @@ def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
         early = (F.col("pos") <= F.col("n") - least) & (F.col("ppos") <= F.col("pn") - least)
         met = live.join(pivots, "bucket").filter((F.col("comp") != F.col("pcomp")) & close & early)
         pairs = met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        for earlier in asked:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        if asked is not None:
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
-        asked.append(pairs)
+        asked = pairs if asked is None else asked.union(pairs)
         if not pairs.isEmpty():
             left, right = sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
             both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
             links = both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
             comp = _merge(scratch, comp, scratch.save(links, "links"))
-        members = scratch.save(live.select("bucket", "cid", "n", "pos", "short").join(pivots.select("bucket", F.col("pivot").alias("cid")), ["bucket", "cid"], "left_anti"), "members")
-        pivots_wanted, turn = pivots_wanted * 4 if turn > _BAND_ROUNDS else 1, turn + 1
+        rest = live.select("bucket", "cid", "n", "pos", "short", "band").join(pivots.select("bucket", F.col("pivot").alias("cid")), ["bucket", "cid"], "left_anti")
+        members = scratch.save(rest if turn + 1 >= len(_BAND_ROUNDS) else rest.unionByName(later.select(*rest.columns)), "members")
+        pivots_wanted, turn = pivots_wanted * 4 if turn > len(_BAND_ROUNDS) else 1, turn + 1
 
 
 def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets (bucket, cid, n, pos, short): each set's rarest shingles, as many as a link to any set needs, and their places."""
+    """Buckets (bucket, cid, n, pos, short, band): each set's rarest shingles, as many as a link to any set needs, and their places."""
     shift = np.uint64(64 - 18)
     slot = lambda items: (items.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) >> shift).astype(np.int64)
 
@@ -239,9 +246,9 @@ def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
             place = np.concatenate([*map(np.arange, wide), np.zeros(0, np.int64)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)])), pa.array(np.repeat(cids, wide)), pa.array(np.repeat(size, wide)), pa.array(place), pa.array(np.concatenate([*short, np.zeros(0, bool)]))], names=schema.names)
 
-    each = sets.select("cid", "items").mapInArrow(run, schema)
+    each = sets.select("cid", "items").mapInArrow(lean(run), schema)
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("short").alias("any")).filter("m > 1 AND any").select("bucket")
-    return each.join(shared, "bucket")
+    return each.join(shared, "bucket").withColumn("band", F.lit(0))
 
 
 def _merge(scratch: Scratch, comp: DataFrame | None, links: DataFrame) -> DataFrame | None:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import flatgraph, linededup, minhash, oracles
+from loomgraph.llm._scratch import Scratch, numbered
 from odd import ROWS
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,19 +140,38 @@ def test_lines_repeated_rows(spark, docs_of):
     given.execute("CREATE TABLE documents AS SELECT * FROM arrow")
     got = linededup.digests(spark, docs)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, given.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.LINEDEDUP})").fetchall()))
-    done = linededup.clean(spark, docs_of(ROWS).withColumnRenamed("size", "n_cut"))
-    assert sorted(done.columns) == sorted({*docs_of(ROWS).columns, "n_cut"} - {"size"})
+    done = linededup.clean(spark, docs_of(ROWS).withColumnRenamed("size", "n_cut").withColumnRenamed("key", "cut").withColumnRenamed("kept", "_row"))
+    assert sorted(done.columns) == sorted({*docs_of(ROWS).columns, "n_cut", "cut", "_row"} - {"size", "key", "kept"})
     assert done.count() == len(ROWS)
     assert linededup.clean(spark, docs_of(ROWS).limit(0)).count() == 0
 
 
+def test_row_numbers(spark, tmp_path):
+    """Rows of files have the same numbers in whatever parts they are read; other rows are written."""
+    for k in range(3):
+        spark.range(k * 100, k * 100 + 90).selectExpr("id", "id % 7 AS x", "'t' AS _loom_file").coalesce(1).write.parquet(str(tmp_path / f"t/{k}"))
+    docs = spark.read.parquet(str(tmp_path / "t/*"))
+    given = numbered(Scratch(spark, "test"), docs, "_row")
+    assert given.columns == ["id", "x", "_loom_file", "_row"]
+    want = {r["id"]: r["_row"] for r in given.collect()}
+    assert len(set(want.values())) == len(want) == 270
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        assert {r["id"]: r["_row"] for r in given.select("id", "_row").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    few = numbered(Scratch(spark, "test"), docs.filter("x = 3").drop("x"), "_row")
+    assert {r["id"]: r["_row"] for r in few.collect()} == {i: n for i, n in want.items() if i % 7 == 3}
+    for other in (docs.unionByName(docs), docs.selectExpr("id", "explode(array(1, 2)) AS k"), spark.range(5)):
+        rows = numbered(Scratch(spark, "test"), other, "_row")
+        assert len({r["_row"] for r in rows.collect()}) == other.count()
+
+
 def test_suffix_ranks_sort_suffixes(spark, docs_of):
     """Ranks order suffixes by their first k lines, ties included."""
-    from loomgraph.llm._scratch import Scratch
-
     rows = lined(9, 25)
     scratch = Scratch(spark, "test")
-    lines = linededup._lines(linededup._numbered(scratch, docs_of(rows), "doc_id"), "text")
+    lines = linededup._lines(numbered(scratch, docs_of(rows), linededup.ROW), "doc_id", "text")
     ids = {}
     for r in lines.collect():
         ids.setdefault(r["_row"], []).append((r["ord"], (r["h1"], r["h2"])))
