@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
 returns the columns of documents; the last returns token digests.
+
+Defined results of the stages: extra columns, whatever their names, are kept by all but the last;
+ids may be null or repeated, and each row has a verdict of its own; an empty table gives an
+empty one. A null or empty text is kept or rejected by the quality classifier like any other
+(its log ratio is 0), stays in line dedup if nothing was cut, links with nothing in near-dedup,
+takes no words in mixing, so that it comes as often as its source's certain copies, and has
+no tokens. Of repeated rows line dedup cuts the lines of the later ones, and near-dedup keeps one.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, importance, linededup, minhash, mixing, queries
-from loomgraph.llm._scratch import Scratch
+from loomgraph.llm._scratch import Scratch, numbered
 from loomgraph.llm._text import n_words
 
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -23,11 +30,6 @@ _BROADCAST_KEYS = 1_000_000
 _ROW = "_loom_row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_ROW``, written, so that a row has one number however often it is read."""
-    return Scratch(docs.sparkSession, "numbered").save(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-
-
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of numbered ``docs`` but those of ``gone``, without their numbers."""
     gone = Scratch(docs.sparkSession, "verdicts").save(gone.select(_ROW), "rejected")
@@ -39,7 +41,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = _numbered(docs)
+    docs = numbered(Scratch(spark, "quality"), docs, _ROW)
     return _without(docs, importance.resample(spark, docs, labels, row=_ROW).filter("NOT kept"))
 
 
@@ -53,7 +55,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, null last; of rows with equal ids one."""
-    docs, scratch = _numbered(docs), Scratch(spark, "near-dedup")
+    scratch = Scratch(spark, "near-dedup")
+    docs = numbered(scratch, docs, _ROW)
     found = scratch.save(minhash.near_duplicates(spark, docs, key=_ROW).select(_ROW, "component_id"), "components")
     order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", _ROW)
     first = found.join(docs.select(_ROW, "doc_id"), _ROW).groupBy("component_id").agg(F.min(order).alias("o")).select(F.col(f"o.{_ROW}"))
