@@ -37,14 +37,13 @@ _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _CHUNK = regex.compile(f"[^{_SPACE}]+")
 _ONLY_PYTHON_SPACE = regex.compile("[\x1c-\x1f]")
 #: Bytes of the younger half of a worker's cache, which is reached before it becomes the older half; what an entry takes besides its characters.
-_CACHE_BYTES = 20 << 20
+_CACHE_BYTES = 48 << 20
 _ENTRY_BYTES = 200
 _CACHE_CHUNK_CHARS = 64
-_PAIRS = 100_000
+_PAIRS = 150_000
 #: Characters that are worked on at a time; a longer text stands alone.
-_RUN = 1 << 18
+_RUN = 1 << 20
 _NEVER = 1 << 62
-_BITS = 9  # of a symbol: the printable characters that stand for bytes, and the word end
 
 
 class SuffixAutomaton:
@@ -55,73 +54,78 @@ class SuffixAutomaton:
     chain, longest first: ``best`` of the state, then ``shorter`` of each token; those
     longer than n don't count.
 
-    All is held flat: ``next`` maps ``state << 9 | symbol`` to a state, for all states in one table.
+    Most states lead to one other state, by one symbol: these two are held in flat lists (``sole``, ``target``),
+    and only states with several ways have a table of their own (``ways``). Symbols are code points.
     """
 
     def __init__(self, tokens: dict[str, int]):
-        self.code = {c: i for i, c in enumerate(sorted({c for t in tokens for c in t}))}
-        if len(self.code) >> _BITS:
-            raise ValueError("too many symbols")
-        self.next: dict[int, int] = {}
+        self.ways: list[dict[int, int] | None] = [{}]
         self.link, self.length = [-1], [0]
-        self._out: list[list[int]] = [[]]
         self._ints = list(range(1 << 10))  # one object for each state's number
         for text in tokens:
             last = 0
-            for symbol in text:
-                last = self._extend(last, self.code[symbol])
-        del self._out, self._ints
+            for symbol in map(ord, text):
+                last = self._extend(last, symbol)
         top = max(tokens.values(), default=-1) + 1
         self.wide, self.shorter = [0] * top, [-1] * top
-        ends: list[list[int]] = [[] for _ in self.link]
+        ends: list[list[int] | None] = [None] * len(self.link)
         for text, token in tokens.items():
             state = 0
-            for symbol in text:
-                state = self.next[state << _BITS | self.code[symbol]]
-            ends[state].append(token)
+            for symbol in map(ord, text):
+                state = self.ways[state][symbol]
+            ends[state] = [*(ends[state] or ()), token]
             self.wide[token] = len(text)
         self.best = [-1] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             below = self.best[self.link[state]]
-            for token in sorted(ends[state], key=self.wide.__getitem__):
+            for token in sorted(ends[state] or (), key=self.wide.__getitem__):
                 self.shorter[token] = below
                 below = token
             self.best[state] = below
-
-    def _state(self, length: int, link: int) -> int:
+        self.sole, self.target = [-1] * len(self.link), [0] * len(self.link)
+        for state, ways in enumerate(self.ways):
+            if len(ways) < 2:
+                self.ways[state] = None
+                for self.sole[state], self.target[state] in ways.items():
+                    pass
+        del self._ints
+
+    def step(self, state: int, symbol: int) -> int | None:
+        ways = self.ways[state]
+        if ways is not None:
+            return ways.get(symbol)
+        return self.target[state] if self.sole[state] == symbol else None
+
+    def _state(self, length: int, link: int, ways: dict[int, int]) -> int:
         at = len(self.link)
         if at == len(self._ints):
             self._ints += range(at, 2 * at)
         self.link.append(link)
         self.length.append(length)
-        self._out.append([])
+        self.ways.append(ways)
         return self._ints[at]
 
     def _extend(self, last: int, symbol: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        q = nxt.get(last << _BITS | symbol)
+        ways, link, length = self.ways, self.link, self.length
+        q = ways[last].get(symbol)
         if q is not None:
             return q if length[q] == length[last] + 1 else self._clone(last, symbol, q)
-        cur = self._state(length[last] + 1, 0)
+        cur = self._state(length[last] + 1, 0, {})
         p = last
-        while p != -1 and p << _BITS | symbol not in nxt:
-            nxt[p << _BITS | symbol] = cur
-            self._out[p].append(symbol)
+        while p != -1 and symbol not in ways[p]:
+            ways[p][symbol] = cur
             p = link[p]
         if p != -1:
-            q = nxt[p << _BITS | symbol]
+            q = ways[p][symbol]
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, symbol, q)
         return cur
 
     def _clone(self, p: int, symbol: int, q: int) -> int:
-        nxt, link = self.next, self.link
-        twin = self._state(self.length[p] + 1, link[q])
-        for c in self._out[q]:
-            nxt[twin << _BITS | c] = nxt[q << _BITS | c]
-        self._out[twin] = list(self._out[q])
+        ways, link = self.ways, self.link
+        twin = self._state(self.length[p] + 1, link[q], dict(ways[q]))
         link[q] = twin
-        while p != -1 and nxt.get(p << _BITS | symbol) == q:
-            nxt[p << _BITS | symbol] = twin
+        while p != -1 and ways[p].get(symbol) == q:
+            ways[p][symbol] = twin
             p = link[p]
         return twin
 
@@ -141,15 +145,16 @@ class PrefixBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.names = {i: t for t, i in self.vocab.items()}
         self.normalizer = Tokenizer.from_file(path).normalizer
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names |= {i: t for t, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = _byte_alphabet()
         size = max(max(self.vocab.values()), *self.special.values(), 0) + 1
+        self.names = [""] * size
+        for t, i in [*self.vocab.items(), *self.special.items()]:
+            self.names[i] = t
         #: For each token the two it is merged from (-1: none) and the number of its merge.
         self.left, self.right, self.born = (array("i", [-1]) * size for _ in range(3))
         #: Number of the merge of a pair.
@@ -171,7 +176,7 @@ class PrefixBpe:
         #: Packed ids of chunks, and those of the time before that weren't asked for again.
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.cache_bytes = 0, _CACHE_BYTES
         self.single = [struct.pack("<I", i) for i in range(size)]
 
     def compatible(self, left: int, right: int) -> bool:
@@ -211,53 +216,59 @@ class PrefixBpe:
         the part of a word that differs from the word before is worked out.
         """
         fits, compatible = self.fits, self.compatible
-        nxt, link, sizes, best = self.automaton.next, self.automaton.link, self.automaton.length, self.automaton.best
-        code, token_width, shorter = self.automaton.code, self.automaton.wide, self.automaton.shorter
-        states, spans, last, width = [0], [0], [-1], [0]
+        fits, compatible, found = self.fits.get, self.compatible, self.automaton
+        ways, sole, target = found.ways, found.sole, found.target
+        link, sizes, best, wide, shorter = found.link, found.length, found.best, found.wide, found.shorter
+        states, spans, last = [0], [0], [-1]
         before_word = ""
         for word in words:
             symbols = word + self.end
             shared, most = 0, min(len(symbols), len(before_word))
+            if shared < most and symbols[: most - 1] == before_word[: most - 1]:
+                shared = most - 1
             while shared < most and symbols[shared] == before_word[shared]:
                 shared += 1
-            del states[shared + 1 :], spans[shared + 1 :], last[shared + 1 :], width[shared + 1 :]
+            del states[shared + 1 :], spans[shared + 1 :], last[shared + 1 :]
             state, size, at = states[shared], spans[shared], shared
             before_word = symbols
-            for c in symbols[shared:]:
+            for symbol in map(ord, symbols[shared:]):
                 at += 1
-                symbol = code.get(c, -1)
-                to = nxt.get(state << _BITS | symbol) if symbol >= 0 else None
-                while to is None and state:
+                while True:
+                    around = ways[state]
+                    if around is not None:
+                        to = around.get(symbol)
+                    else:
+                        to = target[state] if sole[state] == symbol else None
+                    if to is not None or not state:
+                        break
                     state = link[state]
                     size = sizes[state]
-                    to = nxt.get(state << _BITS | symbol) if symbol >= 0 else None
-                chosen = wide = -1
+                token = -1
                 if to is not None:
-                    state, size = to, size + 1
+                    state = to
+                    size += 1
                     token = best[state]
                     while token >= 0:
-                        length = token_width[token]
+                        length = wide[token]
                         if length <= size:
                             if length == at:
-                                chosen, wide = token, length
                                 break
                             before = last[at - length]
                             if before >= 0:
-                                known = fits.get(before << 32 | token)
+                                known = fits(before << 32 | token)
                                 if known or known is None and compatible(before, token):
-                                    chosen, wide = token, length
                                     break
                         token = shorter[token]
                 states.append(state)
                 spans.append(size)
-                last.append(chosen)
-                width.append(wide)
+                last.append(token)
             ids = []
             while at:
-                if last[at] < 0:
+                token = last[at]
+                if token < 0:
                     raise ValueError(f"no encoding for {word!r}")
-                ids.append(last[at])
-                at -= width[at]
+                ids.append(token)
+                at -= wide[token]
             ids.reverse()
             yield ids
 
@@ -296,7 +307,7 @@ class PrefixBpe:
             fresh = {c: hit for c, hit in fresh.items() if len(c) <= _CACHE_CHUNK_CHARS}
         cache |= fresh
         self.held += _ENTRY_BYTES * len(fresh) + sum(map(len, fresh))
-        if self.held > _CACHE_BYTES:  # what was used lately stays one more turn
+        if self.held > self.cache_bytes:  # what was used lately stays one more turn
             self.cache, self.older, self.held = {}, cache, 0
         return made
 
@@ -402,10 +413,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     return encoded.mapInArrow(lean(run), schema)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", cache_bytes: int = _CACHE_BYTES) -> DataFrame:
     """Per row: ``key``, n_tokens, ids_sha256, decoded_sha256; ids and texts never leave the worker.
 
     One pass without a shuffle; memory is bounded by a batch and a cache of chunks.
+
+    :param cache_bytes: half of the cache of a worker; with less, more words are encoded again.
     """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType
@@ -413,6 +426,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         bpe = coder(path)
+        bpe.cache_bytes = cache_bytes
         for b in batches:
             done = list(bpe.digests(t.as_py() for t in b.column(1)))
             n, a, d = zip(*done) if done else ((), (), ())
