@@ -70,7 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of ids and decoded text of each row."""
-    return bpe.digests(docs, queries.tokenizer("word_bpe_49k.json"))
+    return bpe.digests(docs, queries.tokenizer("word_bpe_49k.json"), cache_bytes=16 << 20)  # the heap is full by now
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
