@@ -79,7 +79,8 @@ class StoreConfig:
     :param custom_prefixes: prefix name to namespace.
     :param custom_mappings: (prefix, local name, new name), used by MAP.
     :param multival_props: (prefix, local name) of properties that ARRAY makes arrays; none: all properties.
-    :param batching, batch_size: accepted and kept; partitions do their work here.
+    :param batching, batch_size: triples added one by one leave the driver in batches of so many; DataFrames are
+        worked on in partitions.
     """
 
     def __init__(

@@ -70,35 +70,37 @@ class Graph:
         one = self.props.select("uri", "prop", F.array("value").alias("vals"), F.lit(True).alias("scalar"))
         return one.unionByName(self.arrays.select("uri", "prop", "vals", F.lit(False).alias("scalar")))
 
+    def mixed(self) -> DataFrame:
+        """Arrays with values of different types: uri, prop, types (how many)."""
+        types = F.array_distinct(F.transform("vals", lambda v: v["vt"]))
+        return self.arrays.select("uri", "prop", F.size(types).alias("types")).filter("types > 1")
+
     def check_arrays(self) -> None:
         """Raise if an array has values of different types."""
-        types = F.array_distinct(F.transform("vals", lambda v: v["vt"]))
-        bad = self.arrays.filter(F.size(types) > 1).select("uri", "prop").orderBy("uri", "prop").limit(1).collect()
+        bad = self.mixed().orderBy("uri", "prop").limit(1).collect()
         if bad:
-            raise MixedTypesError(*bad[0])
+            raise MixedTypesError(*bad[0][:2])
 
 
 def graph_of(log: DataFrame) -> Graph:
     """Aggregate a log.
 
     The last value of a scalar wins, by ``ord``. An array is the set of its values, in order
-    of first arrival; values are made distinct before any list is built. Whether a
-    property is scalar or array follows from the last commit that set it: an array if any
-    statement there says so.
+    of first arrival. Whether a property is scalar or array follows from the last commit that
+    set it: an array if any statement there says so. Values are listed for arrays only, after
+    they are made distinct; of a scalar's values no list is built.
     """
-    said = log.filter("kind = 'prop'")
-    each = said.groupBy("uri", "name", "value").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.max(F.struct("ord.seq", "multi")).alias("how"))
-    per = each.groupBy("uri", F.col("name").alias("prop"))
-    how = per.agg(
-        F.max("how")["multi"].alias("multi"),
-        F.max_by("value", "last").alias("value"),
-        F.transform(F.sort_array(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias("vals"),
-    )
+    said = log.filter("kind = 'prop'").withColumnRenamed("name", "prop")
+    how = said.groupBy("uri", "prop").agg(F.max(F.struct("ord.seq", "multi"))["multi"].alias("multi"), F.max_by("value", "ord").alias("value"))
+    some = said.filter("multi").select("uri", "prop").distinct()
+    now = how.filter("multi").select("uri", "prop").join(some, ["uri", "prop"], "left_semi")
+    each = said.join(now, ["uri", "prop"], "left_semi").groupBy("uri", "prop", "value").agg(F.min("ord").alias("first"))
+    listed = each.groupBy("uri", "prop").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias("vals"))
     edges = log.filter("kind = 'edge'").select(F.col("uri").alias("src"), F.col("name").alias("type"), "dst").distinct()
     ids = log.select(F.explode(F.array("uri", "dst")).alias("uri")).filter("uri IS NOT NULL").distinct()
     resource = ids.select("uri", F.lit(RESOURCE).alias("label"))
     labels = log.filter("kind = 'label'").select("uri", F.col("name").alias("label")).filter(F.col("label") != RESOURCE).distinct().unionByName(resource)
-    return Graph(ids, labels, how.filter("NOT multi").select("uri", "prop", "value"), how.filter("multi").select("uri", "prop", "vals"), edges)
+    return Graph(ids, labels, how.filter("NOT multi").select("uri", "prop", "value"), listed, edges)
 
 
 def overwritten(log: DataFrame) -> DataFrame:

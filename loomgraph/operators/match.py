@@ -16,6 +16,14 @@ def nodes(graph: Graph) -> DataFrame:
     return graph.labels.groupBy("uri").agg(F.array_sort(F.collect_set("label")).alias("labels")).orderBy("uri")
 
 
+def nodes_with_props(graph: Graph) -> DataFrame:
+    """All nodes in order of uri: uri, labels (sorted), props (array of prop, vals, scalar, sorted by prop; empty if there are none)."""
+    props = graph.all_props().groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("prop", "vals", "scalar"))).alias("props"))
+    labels = graph.labels.groupBy("uri").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    none = F.array().cast(props.schema["props"].dataType)
+    return labels.join(props, "uri", "left").withColumn("props", F.coalesce("props", none)).orderBy("uri")
+
+
 def edges(graph: Graph) -> DataFrame:
     """All relationships in order of src and dst. Both ends are nodes by construction, so no join is needed."""
     return graph.edges.orderBy("src", "dst", "type")

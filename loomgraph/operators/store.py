@@ -35,15 +35,18 @@ class GraphStore:
         self._pending: list[DataFrame] = []
         self._pending_edges: list[DataFrame] = []
         self._rows: list[tuple] = []
+        self._added: dict[int, DataFrame] = {}  # batches of triples that were counted when they were added
+        self._batches: list[str] = []
         self._memory: list[DataFrame] = []
         self._state = {"seq": 0, "commits": []}
+        self._seen: dict | None = None  # what the pointer file last said
 
     # life cycle
 
     def open(self, create: bool = True) -> GraphStore:
         """Read the pointer file, or start an empty store if ``create``."""
         if self.path:
-            found = self._read_pointer()
+            found = self._seen = self._read_pointer()
             if found is None and not create:
                 raise GraphError(f"no store at {self.path}")
             if found is None:
@@ -73,15 +76,21 @@ class GraphStore:
 
     # input
 
-    def add(self, triple: tuple) -> None:
-        """One triple (subject, predicate, object) of terms: an IRI as text, ``("bnode", id)`` or ``("literal", text[, datatype[, lang]])``."""
+    def add(self, triple: tuple, context: str | None = None, quoted: bool = False) -> None:
+        """One triple (subject, predicate, object) of terms: an IRI as text, ``("bnode", id)`` or ``("literal", text[, datatype[, lang]])``.
+
+        ``context`` names its graph, which is kept with the triple and has no part in the merge; ``quoted`` has no effect.
+        The driver holds ``batch_size`` triples at most (with ``batching``) and hands them over in batches.
+        """
         self._need_open()
         s, p, o = triple
         subj_kind, subj = ("iri", s) if isinstance(s, str) else (s[0], s[1])
         obj_kind, obj, *rest = ("iri", o) if isinstance(o, str) else o
         dtype, lang = (*rest, None, None)[:2]
-        self._rows.append((("", 0, self.total_triples), subj, subj_kind, p, obj, obj_kind, dtype, lang, None))
+        self._rows.append((("", 0, self.total_triples), subj, subj_kind, p, obj, obj_kind, dtype, lang, context))
         self.total_triples += 1
+        if self.config.batching and len(self._rows) >= self.config.batch_size:
+            self._seal_rows()
 
     def add_all(self, triples: DataFrame | Iterable[tuple]) -> None:
         """A DataFrame of triples, or an iterable for :meth:`add`."""
@@ -132,7 +141,7 @@ class GraphStore:
                 log = statements(triples, self.config, seq)
                 # later additions of one commit come after earlier ones
                 logs.append(log.withColumn("ord", F.col("ord").withField("file", F.concat(F.lit(f"{n:08d} "), F.coalesce("ord.file", F.lit(""))))))
-            counted = sum(t.count() for t in self._pending if t is not self._rows_frame)
+            counted = sum(t.count() for t in self._pending if id(t) not in self._added)
             log = logs[0]
             for more in logs[1:]:
                 log = log.unionByName(more)
@@ -148,21 +157,43 @@ class GraphStore:
             self._state = before
             raise
         self.total_triples += counted
-        self._pending, self._pending_edges, self._rows_frame = [], later, None
+        if later and self._batches:  # what stays pending is read once more
+            later = [x.persist() for x in later]
+            for x in later:
+                x.count()
+        self._drop_batches()
+        self._pending, self._pending_edges = [], later
 
     def _write(self, log: DataFrame, seq: int) -> None:
+        """Write the commit, check the arrays it adds to, and only then name it in the pointer file."""
         if not self.path:
-            graph_of(self._log_of([*self._memory, log])).check_arrays()
+            log = log.persist()  # made again from its source if an executor is lost
+            try:
+                self._check_arrays(log, [*self._memory, log])
+            except Exception:
+                log.unpersist()
+                raise
             self._memory.append(log)
             self._state = {**self._state, "seq": seq}
             return
         folder = f"log/{seq:08d}-{uuid.uuid4().hex}"
-        log.write.parquet(f"{self.path}/{folder}")
-        state = {**self._state, "seq": seq, "commits": [*self._state["commits"], folder]}
-        self._graph(state).check_arrays()
-        self._write_pointer(state)
+        try:
+            log.write.parquet(f"{self.path}/{folder}")
+            state = {**self._state, "seq": seq, "commits": [*self._state["commits"], folder]}
+            self._check_arrays(self._read([folder]), self._parts(state))
+            self._write_pointer(state)
+        except Exception:
+            self._delete(folder)
+            raise
         self._state = state
 
+    def _check_arrays(self, new: DataFrame, parts: list[DataFrame]) -> None:
+        """Only properties that the new commit makes an array are looked up in earlier commits."""
+        arrays = new.filter("multi").select("uri", "name").distinct()
+        if arrays.isEmpty():
+            return
+        graph_of(self._log_of(parts).filter("kind = 'prop'").join(arrays, ["uri", "name"], "left_semi")).check_arrays()
+
     def compact(self) -> None:
         """Write the log anew without statements that no longer matter, sorted by uri, as one commit."""
         log = self._log_of(self._parts(self._state))
@@ -207,20 +238,36 @@ class GraphStore:
 
     # inside
 
-    _rows_frame: DataFrame | None = None
-
     def _need_open(self) -> None:
         if not self._open:
             raise GraphError("the store isn't open")
 
     def _seal_rows(self) -> None:
-        if self._rows:
-            self._rows_frame = self.spark.createDataFrame(self._rows, TRIPLE)
-            self._pending.append(self._rows_frame)
-            self._rows = []
+        """Hand the triples added one by one over as a DataFrame: with a path, as files of the store."""
+        if not self._rows:
+            return
+        batch = self.spark.createDataFrame(self._rows, TRIPLE)
+        if self.path:
+            folder = f"pending/{uuid.uuid4().hex}"
+            batch.coalesce(1).write.parquet(f"{self.path}/{folder}")
+            batch = self.spark.read.schema(TRIPLE).parquet(f"{self.path}/{folder}")
+            self._batches.append(folder)
+        self._added[id(batch)] = batch
+        self._pending.append(batch)
+        self._rows = []
+
+    def _drop_batches(self) -> None:
+        for folder in self._batches:
+            self._delete(folder)
+        self._batches, self._added = [], {}
 
     def _discard(self) -> None:
-        self._pending, self._pending_edges, self._rows, self._rows_frame = [], [], [], None
+        self._drop_batches()
+        self._pending, self._pending_edges, self._rows = [], [], []
+
+    def _delete(self, folder: str) -> None:
+        p, fs = self._fs(folder)
+        fs.delete(p, True)
 
     def _empty_log(self) -> DataFrame:
         return statements(self.spark.createDataFrame([], TRIPLE), StoreConfig())
@@ -236,7 +283,10 @@ class GraphStore:
             return self._memory
         if not state["commits"]:
             return []
-        return [self.spark.read.schema(self._empty_log().schema).parquet(*(f"{self.path}/{c}" for c in state["commits"]))]
+        return [self._read(state["commits"])]
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self._empty_log().schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
     def _graph(self, state: dict) -> Graph:
         return graph_of(self._log_of(self._parts(state)))
@@ -257,6 +307,9 @@ class GraphStore:
             stream.close()
 
     def _write_pointer(self, state: dict) -> None:
+        """Replace the pointer file, unless someone else has since this store read or wrote it."""
+        if self._read_pointer() != self._seen:
+            raise GraphError(f"another writer has changed the store at {self.path}")
         new, fs = self._fs(f".CURRENT-{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
@@ -268,3 +321,4 @@ class GraphStore:
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(new, old, options)
+        self._seen = state

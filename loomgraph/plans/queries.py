@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import MultivalStrategy, VocabStrategy
 from loomgraph.functions import vocab
-from loomgraph.functions.terms import RDF_TYPE, XSD, local_part_or_null, namespace_part_or_null, node_uri, typed_value
+from loomgraph.functions.terms import RDF, RDF_TYPE, XSD, local_part_or_null, namespace_part_or_null, node_uri, typed_value
 from loomgraph.operators import fold, match
 from loomgraph.operators.store import GraphStore
 from loomgraph.plans.tables import EX, IND, VOC, config, triples, triples_sql
-from loomgraph.sources import jsonld, lines, turtle
+from loomgraph.sources import jsonld, lines, rdfxml, read_files, turtle
 from loomgraph.streaming.ingest import into_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,11 +321,141 @@ def jsonld_parse(spark, sf):
     return jsonld.parse(_inline(spark, sf).select(F.lit("").alias("file"), text.alias("value"))).select("subj", "pred", "obj", "obj_kind", "lang")
 
 
+@_query(_INLINE_SQL)
+def rdfxml_parse(spark, sf):
+    """The same statements as RDF/XML documents."""
+    name = F.replace(F.replace("n_name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    text = F.concat(F.lit(f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:v="{VOC}"><v:Nation rdf:about="{EX}nation#'), "n_nationkey", F.lit('"><v:name xml:lang="en">'), name, F.lit(f' "x"</v:name><v:inRegion rdf:resource="{EX}region#'), "n_regionkey", F.lit('"/></v:Nation></rdf:RDF>'))
+    return rdfxml.parse(_inline(spark, sf).select(F.lit("").alias("file"), text.alias("value"))).select("subj", "pred", "obj", "obj_kind", "lang")
+
+
+_GRAPH_SQL = f"SELECT '{EX}nation#' || n_nationkey AS subj, '{VOC}inRegion' AS pred, '{EX}region#' || n_regionkey AS obj, '{EX}graph/' || n_regionkey AS graph FROM nation"
+
+
+@_query(_GRAPH_SQL)
+def trig_parse(spark, sf):
+    """Statements in named graphs, as TriG documents."""
+    text = F.concat(F.lit(f"@prefix v: <{VOC}> . <{EX}graph/"), "n_regionkey", F.lit(f"> {{ <{EX}nation#"), "n_nationkey", F.lit(f"> v:inRegion <{EX}region#"), "n_regionkey", F.lit("> . }"))
+    return turtle.parse(_inline(spark, sf).select(F.lit("").alias("file"), text.alias("value"))).select("subj", "pred", "obj", "graph")
+
+
+def _lines_of(spark, sf, graph: bool) -> DataFrame:
+    end = [F.lit(f"> <{EX}graph/"), F.col("n_regionkey")] if graph else []
+    return _inline(spark, sf).select(F.concat(F.lit(f"<{EX}nation#"), "n_nationkey", F.lit(f"> <{VOC}inRegion> <{EX}region#"), "n_regionkey", *end, F.lit("> .")).alias("value"))
+
+
+@_query(_GRAPH_SQL)
+def nquads_files(spark, sf):
+    """N-Quads files, with the format taken from their name."""
+    path = f"{_work(spark)}/nations.nq"
+    _lines_of(spark, sf, True).write.text(path)
+    return read_files(spark, path).select("subj", "pred", "obj", "graph")
+
+
+@_query(f"SELECT 'bnode://' || n_name AS uri, count(*) OVER () AS n FROM (SELECT DISTINCT n_name FROM nation)")
+def bnode_scope(spark, sf):
+    """Blank nodes of one name in two files: one node, or with a scope of files two."""
+    path = f"{_work(spark)}/files"
+    text = _inline(spark, sf).select(F.concat(F.lit("_:"), F.regexp_replace("n_name", "[^A-Za-z0-9_]", "-"), F.lit(f" <{VOC}near> <{EX}here> .")).alias("value"))
+    for k in range(2):
+        text.coalesce(1).write.text(f"{path}/{k}.nt")
+    shared, apart = (read_files(spark, [f"{path}/0.nt", f"{path}/1.nt"], bnode_scope=s).select(node_uri("subj", "subj_kind").alias("uri")).distinct() for s in ("none", "file"))
+    names = _inline(spark, sf).select(F.concat(F.lit("bnode://"), "n_name").alias("uri"), F.concat(F.lit("bnode://"), F.regexp_replace("n_name", "[^A-Za-z0-9_]", "-")).alias("made")).distinct()
+    return names.join(shared, names["made"] == shared["uri"], "left_semi").select("uri").crossJoin(F.broadcast(apart.agg((F.count(F.lit(1)) / 2).cast("long").alias("n"))))  # one row
+
+
+def _work(spark) -> str:
+    """A folder of the session's shared folder; a local one only if all of Spark runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
+
+
+_TYPED_NODES = f"(SELECT subj AS uri, {_LOCAL.format('pred')} AS prop, CASE WHEN dtype IS NULL THEN 'string' ELSE 'long' END AS vt FROM triples)"
+
+
+@_query(f"WITH {triples_sql('collision', 'clash')} SELECT uri, prop, CAST(count(DISTINCT vt) AS INT) AS types FROM {_TYPED_NODES} GROUP BY ALL HAVING count(DISTINCT vt) > 1")
+def mixed_types(spark, sf):
+    """Arrays with values of different types, which a commit would refuse."""
+    return fold.fold(triples(spark, sf, "collision", "clash"), config(multival_strategy=MultivalStrategy.ARRAY)).mixed()
+
+
+@_query(
+    f"WITH {triples_sql('events', 'nation')}, {{0}}, held AS (SELECT subj AS uri, {_LOCAL.format('pred')} || '=' || arg_max(obj, {_ORDER}) AS p FROM triples WHERE obj_kind = 'literal' GROUP BY subj, pred) "
+    f"SELECT l.uri, l.labels, coalesce(p.props, '') AS props FROM (SELECT uri, string_agg(label, ',' ORDER BY label) AS labels FROM pairs GROUP BY uri) l LEFT JOIN (SELECT uri, string_agg(p, ',' ORDER BY p) AS props FROM held GROUP BY uri) p ON l.uri = p.uri".replace("{0}", _LABELS.split(", ", 1)[1])
+)
+def match_nodes_props(spark, sf):
+    """Every node with its labels and properties."""
+    rows = match.nodes_with_props(fold.fold(triples(spark, sf, "events", "nation"), config()))
+    pairs = F.array_sort(F.transform("props", lambda p: F.concat(p["prop"], F.lit("="), F.array_join(F.transform(p["vals"], lambda v: v["lex"]), "|"))))
+    return rows.select("uri", F.array_join("labels", ",").alias("labels"), F.array_join(pairs, ",").alias("props"))
+
+
+@_query(f"SELECT DISTINCT '{EX}nation#' || n_nationkey AS src, 'inRegion' AS type, '{EX}region#' || n_regionkey AS dst FROM nation")
+def store_add(spark, sf):
+    """Triples added one by one to a store of files, in batches; relationships are committed apart from nodes."""
+    store = GraphStore(spark, config(batch_size=10), path=f"{_work(spark)}/store").open()
+    for r in _inline(spark, sf).collect():
+        store.add((f"{EX}nation#{r['n_nationkey']}", VOC + "inRegion", f"{EX}region#{r['n_regionkey']}"), context=EX + "graph")
+    store.commit(commit_nodes=True)
+    assert store.num_edges() == 0
+    store.commit(commit_rels=True)
+    return store.graph().edges
+
+
+@_query(f"SELECT '{EX}region#' || r_regionkey AS uri, r_name AS name FROM region")
+def store_inline(spark, sf):
+    """Inline text into a store, after all that it held was deleted."""
+    rows = spark.read.parquet(f"{sf}/region.parquet").collect()
+    store = GraphStore(spark, config(), path=f"{_work(spark)}/store").open()
+    store.parse(data=f"<{EX}gone> <{VOC}name> 'gone' .")
+    store.commit()
+    store.clear()
+    store.parse(data=f"@prefix v: <{VOC}> .\n" + "\n".join(f"<{EX}region#{r['r_regionkey']}> v:name '{r['r_name']}' ." for r in rows))
+    store.close()
+    store.open(create=False)
+    return store.graph().props.select("uri", F.col("value.lex").alias("name"))
+
+
+@_query(f"WITH {triples_sql('events')} SELECT {_SUBJ} AS uri, {_LOCAL.format('pred')} AS prop, arg_max(obj, {_ORDER}) AS value FROM triples WHERE obj_kind = 'literal' GROUP BY ALL")
+def store_compact(spark, sf):
+    """Three commits as one, with what no longer matters left out."""
+    t = triples(spark, sf, "events")
+    store = GraphStore(spark, config(), path=f"{_work(spark)}/store").open()
+    for k in range(3):
+        store.add_all(t.filter(F.col("ord.row").between(k * 4000, (k + 1) * 4000 - 1) if k < 2 else F.col("ord.row") >= 8000))
+        store.commit()
+    store.compact()
+    return store.graph().props.select("uri", "prop", F.col("value.lex").alias("value"))
+
+
+_SWITCH = f"FROM triples WHERE pred = '{VOC}lastEvent'"
+
+
+@_query(
+    f"WITH {triples_sql('events')}, late AS (SELECT DISTINCT subj {_SWITCH} AND ord % 3 = 0), kept AS (SELECT subj, obj, min((CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END, ord)) AS first {_SWITCH} GROUP BY subj, obj) "
+    f"SELECT k.subj AS uri, 'lastEvent' AS prop, k.subj NOT IN (SELECT subj FROM late) AS scalar, CASE WHEN k.subj IN (SELECT subj FROM late) THEN string_agg(obj, ',' ORDER BY first) ELSE max(l.value) END AS vals "
+    f"FROM kept k JOIN (SELECT subj, arg_max(obj, ord) AS value {_SWITCH} GROUP BY subj) l ON l.subj = k.subj GROUP BY k.subj"
+)
+def strategy_switch(spark, sf):
+    """A commit that overwrites and one that makes arrays: the last one that set a property decides, over all values."""
+    t = triples(spark, sf, "events").filter(F.col("pred") == VOC + "lastEvent")
+    store = GraphStore(spark, config(), in_memory=True).open()
+    store.add_all(t.filter("ord.row % 3 <> 0"))
+    store.commit()
+    store.config.set_multival_strategy(MultivalStrategy.ARRAY)
+    store.add_all(t.filter("ord.row % 3 = 0"))
+    store.commit()
+    return store.graph().all_props().select("uri", "prop", "scalar", _joined(F.col("vals")).alias("vals"))
+
+
 @_query(f"SELECT '{EX}user/' || user_id AS uri, 'lastEvent' AS prop, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id")
 def stream_events(spark, sf):
     """Events as a stream into a store, then read."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = _work(spark)
     store = GraphStore(spark, config(), path=f"{work}/store").open()
     rows = spark.read.parquet(f"{sf}/events.parquet")
 

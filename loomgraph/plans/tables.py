@@ -61,6 +61,9 @@ RULES: dict[str, list[Rule]] = {
         Rule("events", _iri("user/", "user_id"), VOC + "seen", "event_type", "event_id"),
         Rule("events", _iri("user/", "user_id"), IND + "seen", "'late-' || event_type", "event_id"),
     ],
+    "clash": [
+        Rule("events", _iri("user/", "user_id"), VOC + "seen", "CASE WHEN event_id % 5 = 0 THEN event_id END", "event_id", dtype=XSD + "integer"),
+    ],
     "conversations": [
         Rule("conversations", "'c' || CAST(conv_id AS STRING) || '_t' || CAST(turn AS STRING)", RDF_TYPE, _class("Turn"), "conv_id * 1000 + turn", "iri", "bnode"),
         Rule("conversations", "'c' || CAST(conv_id AS STRING) || '_t' || CAST(turn AS STRING)", VOC + "role", "role", "conv_id * 1000 + turn", "literal", "bnode"),

@@ -35,21 +35,27 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
+#: All groups of a statement with a line break between them: no statement has one.
+_GROUPS = "\n".join(f"${n}" for n in range(1, 11))
+
+
 def parse(rows: DataFrame) -> DataFrame:
-    """Triples of rows (file, block, row, value), each a line. A line that is neither a statement nor blank is an error."""
+    """Triples of rows (file, block, row, value), each a line. A line that is neither a statement nor blank is an error.
+
+    The error is in a filter, which no choice of columns can take away.
+    """
     rows = rows.filter(~F.col("value").rlike(BLANK))
-    group = lambda n: F.regexp_extract("value", STATEMENT, n)
-    m = rows.select("file", "block", "row", "value", *(group(n).alias(f"g{n}") for n in range(1, 11)))
-    bad = F.raise_error(F.concat(F.lit("not a statement: "), F.col("value"))).cast("string")
-    g = lambda n: F.nullif(F.col(f"g{n}"), F.lit(""))
-    pred = F.coalesce(g(3), bad)
+    m = rows.select("file", "block", "row", "value", F.split(F.regexp_replace("value", STATEMENT, _GROUPS), "\n", -1).alias("g"))
+    bad = F.raise_error(F.concat(F.lit("not a statement: "), F.col("value"))).cast("boolean")
+    m = m.filter(F.when(F.size("g") == 10, F.lit(True)).otherwise(bad))
+    g = lambda n: F.nullif(F.col("g")[n - 1], F.lit(""))
     literal = g(4).isNull() & g(5).isNull()
-    obj = F.when(literal, unescape(F.col("g6"))).otherwise(F.coalesce(unescape(g(4)), g(5)))
+    obj = F.when(literal, unescape(F.col("g")[5])).otherwise(F.coalesce(unescape(g(4)), g(5)))
     out = m.select(
         F.struct("file", "block", "row").alias("ord"),
         F.coalesce(unescape(g(1)), g(2)).alias("subj"),
         F.when(g(1).isNotNull(), "iri").otherwise("bnode").alias("subj_kind"),
-        unescape(pred).alias("pred"),
+        unescape(g(3)).alias("pred"),
         obj.alias("obj"),
         F.when(literal, "literal").when(g(4).isNotNull(), "iri").otherwise("bnode").alias("obj_kind"),
         F.when(literal, F.coalesce(g(7), F.when(g(8).isNull(), F.lit(XSD + "string")))).alias("dtype"),

@@ -243,3 +243,54 @@ def test_matches(spark):
 def test_empty(spark):
     g = fold(spark.createDataFrame([], TRIPLE), StoreConfig())
     assert model.of_graph(g) == ({}, {}, set())
+
+
+def test_adding_in_batches(spark, tmp_path):
+    """The driver holds a batch at most; with a path, batches wait in files until the commit."""
+    config = StoreConfig(**IGNORED, batch_size=3)
+    store = GraphStore(spark, config, path=str(tmp_path / "g")).open()
+    for k in range(8):
+        store.add((f"http://x/{k}", V + "near", "http://x/0"), context="http://ctx/1", quoted=k == 1)
+        assert len(store._rows) < 3
+    assert len(list((tmp_path / "g/pending").iterdir())) == 2
+    assert {r["graph"] for t in store._pending for r in t.collect()} == {"http://ctx/1"}
+    store.commit(commit_nodes=True)
+    assert not list((tmp_path / "g/pending").iterdir())
+    assert store.num_edges() == 0
+    store.commit()
+    assert (store.num_nodes(), store.num_edges(), store.close()) == (8, 8, 8)
+
+
+def test_failed_and_rival_commits(spark, tmp_path):
+    """A failed commit leaves no files, and of two writers one is told."""
+    path = tmp_path / "g"
+    config = StoreConfig(**IGNORED, multival_strategy=MultivalStrategy.ARRAY)
+    store, rival = GraphStore(spark, config, path=str(path)).open(), GraphStore(spark, config, path=str(path)).open()
+    store.parse(data='<http://a> <http://x/p> 1 .')
+    store.commit()
+    files = sorted(path.glob("log/*"))
+    store.parse(data='<http://a> <http://x/p> "one" .')
+    with pytest.raises(MixedTypesError):
+        store.commit()
+    assert sorted(path.glob("log/*")) == files
+    rival.parse(data='<http://b> <http://x/p> 2 .')
+    with pytest.raises(GraphError, match="another writer"):
+        rival.commit()
+    assert sorted(path.glob("log/*")) == files
+    assert store.num_nodes() == 1
+    rival.open()
+    rival.parse(data='<http://b> <http://x/p> 2 .')
+    rival.commit()
+    assert rival.num_nodes() == 2
+
+
+def test_nodes_with_props(spark):
+    g = fold(read_data(spark, GARDEN), StoreConfig(custom_prefixes=PREFIXES, **IGNORED, multival_strategy=MultivalStrategy.ARRAY, multival_props=[("g", "colour")]))
+    rows = {r["uri"]: (r["labels"], [(p["prop"], [v["lex"] for v in p["vals"]], p["scalar"]) for p in r["props"]]) for r in match.nodes_with_props(g).collect()}
+    assert rows == {
+        I + "pot": (["Bed", "Movable", "Resource"], []),
+        I + "rose": (["Resource", "Shrub"], [("colour", ["red", "pink"], False)]),
+        I + "plot7": (["Bed", "Resource"], [("area", ["12 m2"], True), ("label", ["sunny corner"], True)]),
+        I + "mint": (["Resource"], [("colour", ["green"], False)]),
+        I + "shed": (["Resource"], []),
+    }

@@ -128,3 +128,13 @@ def test_refusals(spark):
         read_files(spark, "https://example.org/x.ttl")
     with pytest.raises(GraphError):
         format_of("x.unknown")
+
+
+def test_a_bad_line_is_an_error_in_every_plan(spark):
+    """Also where the columns that hold it aren't asked for."""
+    bad = read_data(spark, "<http://a> <http://p> <http://b> .\nnot a statement\n", "nt")
+    for ask in (lambda: bad.select("subj", "obj").collect(), lambda: bad.count(), lambda: bad.select("graph").distinct().collect()):
+        with pytest.raises(PySparkException, match="not a statement"):
+            ask()
+    one_pass = read_data(spark, '<http://a> <http://p> "x" .', "nt")._jdf.queryExecution().optimizedPlan().toString()
+    assert one_pass.count("regexp_replace") <= 2 and "regexp_extract" not in one_pass
