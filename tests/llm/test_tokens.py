@@ -81,7 +81,7 @@ def test_suffix_automaton():
 
 
 _MEMORY = """
-import random, resource, sys
+import random, sys
 sys.path.insert(0, {root!r})
 from loomgraph.llm import bpe
 import public_tokenizers
@@ -92,7 +92,8 @@ for _ in range(40):
     words = ["".join(r.choice("etaoinshrdlucm") for _ in range(r.randrange(4, 12))) for _ in range(10_000)]
     assert sum(n for n, *_ in coder.digests([" ".join(words[k : k + 500]) for k in range(0, 10_000, 500)])) > 10_000
 held = lambda c: sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items()) + sys.getsizeof(c)
-print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, held(coder.cache) >> 20, held(coder.older) >> 20, len(coder.fits))
+peak = int(open("/proc/self/status").read().split("VmHWM:")[1].split()[0]) // 1024  # ru_maxrss would count the parent's
+print(peak, held(coder.cache) >> 20, held(coder.older) >> 20, len(coder.fits))
 """
 
 
@@ -102,7 +103,7 @@ def test_memory_is_bounded():
     peak, young, old, pairs = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split())
     assert max(young, old) <= 1.5 * 16 + 4
     assert pairs <= bpe._PAIRS
-    assert peak < 210  # reading the file included
+    assert peak < 190  # reading the file included
 
 
 def test_bpe_query_shape(docs_of, library):
