@@ -1,21 +1,25 @@
 """Token counts from distinct pre-tokens, without ids.
 
-A text is cut into pre-tokens, pieces of text that no merge can cross. The
-pieces of each distinct pre-token are counted once, the counts are joined to the
-pre-token frequencies of each document and summed; no ids are made.
-
-Dictionary and join live in the worker: a batch's distinct pre-tokens are looked
-up in a bounded dictionary kept between batches. A global dictionary would need
-one shuffled row for each (document, distinct pre-token), several times the
-input, so nothing is shuffled here.
+A text is cut into pre-tokens, pieces of text that no merge can cross. One pass
+tallies them; the pieces of each distinct pre-token are then counted once, in a
+dictionary table. A second pass gives the pre-token frequencies of each document,
+which are joined to the dictionary and summed; no ids are made.
+
+The most frequent keys of the dictionary (``head``, a fixed number of keys of 64
+characters at most) are broadcast, so nearly all frequencies are summed where they
+are made. Only the rest, of which no key has more than one in ``head`` of all
+pre-tokens, is shuffled to the whole dictionary. The plan is the same at every size.
+A pre-token of more than 64 characters has its SHA-256 as key, and is counted by
+each task that meets it, so that no long text is shuffled.
 
 Defined results: a null text has no tokens and no bytes; an empty text the same;
-repeated rows, ties and extra columns change nothing; an empty table gives an
-empty table.
+repeated rows (each has its own result), null keys, ties and extra columns change
+nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -24,13 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm._scratch import ship
+from loomgraph.llm._scratch import Scratch, numbered, ship
 from loomgraph.llm._worker import lean
 
 _MARK = "▁"  # stands for a space in pieces
 _PRE_TOKEN = re.compile(f"{_MARK}+[^{_MARK}]*")
-_DICTIONARY = 500_000
-_LONGEST_KEPT = 64
+_LONGEST_KEY = 64
+#: Broadcast keys: 64 characters each at most.
+HEAD = 100_000
+#: Entries a task gathers before it hands them on.
+_TALLY = 100_000
+_ROW = "_loom_row"
+
+
+def pre_tokens(text: str | None) -> list[str]:
+    return _PRE_TOKEN.findall(_MARK + text.replace(" ", _MARK)) if text else []
+
+
+def key_of(pre_token: str) -> str:
+    """The pre-token itself, which begins with a space mark, or the digest of a long one, which doesn't."""
+    return pre_token if len(pre_token) <= _LONGEST_KEY else hashlib.sha256(pre_token.encode()).hexdigest()
 
 
 class PieceCounter:
@@ -45,29 +62,16 @@ class PieceCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known: dict[str, int] = {_MARK: 1}
         for i in range(self.model.get_piece_size()):
             if re.search(f"[^{_MARK}]{_MARK}", self.model.id_to_piece(i)):
                 raise ValueError(f"piece {i} crosses a pre-token border")
 
     def pieces(self, pre_token: str) -> int:
         """Number of pieces of one pre-token, which begins with a space mark."""
-        n = self.known.get(pre_token)
-        if n is None:
-            n = len(self.model.encode(pre_token[1:])) if len(pre_token) > 1 else 1
-            if len(pre_token) <= _LONGEST_KEPT:
-                if len(self.known) >= _DICTIONARY:
-                    self.known.clear()
-                    self.known[_MARK] = 1
-                self.known[pre_token] = n
-        return n
+        return len(self.model.encode(pre_token[1:])) if len(pre_token) > 1 else 1
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        frequency = Counter(_PRE_TOKEN.findall(_MARK + text.replace(" ", _MARK)))
-        known, pieces = self.known, self.pieces
-        return sum([n * (known.get(p) or pieces(p)) for p, n in frequency.items()])
+        return sum(n * self.pieces(p) for p, n in Counter(pre_tokens(text)).items())
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
@@ -79,17 +83,77 @@ def counter(path: str) -> PieceCounter:
     return _COUNTERS[path]
 
 
-def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
-    """Per row: ``key``, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
-    ship(docs.sparkSession)
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+def dictionary(texts: DataFrame, path: str) -> DataFrame:
+    """From a column of texts: each distinct key with its frequency and its number of pieces (columns pre, n, pieces)."""
+    spark = texts.sparkSession
+    ship(spark)
+    tallied = T.StructType([T.StructField("pre", T.StringType()), T.StructField("n", T.LongType()), T.StructField("pieces", T.LongType())])
 
-    def run(batches):
+    def entries(tally):
+        known = [None if len(p) <= _LONGEST_KEY else counter(path).pieces(p) for p in tally]
+        return pa.RecordBatch.from_arrays([pa.array(map(key_of, tally), pa.string()), pa.array(tally.values(), pa.int64()), pa.array(known, pa.int64())], names=tallied.names)
+
+    def tally(batches):
+        seen = Counter()
+        for b in batches:
+            for t in b.column(0):
+                seen.update(pre_tokens(t.as_py()))
+                if len(seen) >= _TALLY:
+                    yield entries(seen)
+                    seen = Counter()
+        yield entries(seen)
+
+    def count(batches):
         c = counter(path)
         for b in batches:
-            n = [c.count(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=schema.names)
+            n = [c.pieces(p) if known is None else known for p, known in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=tallied.names)
+
+    distinct = texts.mapInArrow(lean(tally), tallied).groupBy("pre").agg(F.sum("n").alias("n"), F.max("pieces").alias("pieces"))
+    return distinct.mapInArrow(lean(count), tallied)
+
+
+def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A row for each row of numbered ``docs`` and distinct pre-token: id, row, n_bytes, pre, n. Without pre-tokens one row, pre null."""
+    ship(docs.sparkSession)
+    schema = T.StructType([
+        T.StructField("id", docs.schema[key].dataType), T.StructField("row", T.LongType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("pre", T.StringType()), T.StructField("n", T.LongType()),
+    ])
 
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes")
-    counted = docs.select(F.col(key), size, F.col(text)).mapInArrow(lean(run), schema)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    def run(batches):
+        for b in batches:
+            at, pre, n = [], [], []
+            for i, t in enumerate(b.column(3)):
+                seen = Counter(pre_tokens(t.as_py())) or {None: 0}
+                at += [i] * len(seen)
+                pre += [p if p is None or len(p) <= _LONGEST_KEY else key_of(p) for p in seen]
+                n += seen.values()
+                if len(at) >= _TALLY:
+                    yield rows(b, at, pre, n)
+                    at, pre, n = [], [], []
+            yield rows(b, at, pre, n)
+
+    def rows(b, at, pre, n):
+        taken = pa.array(at, pa.int32())
+        return pa.RecordBatch.from_arrays([*(b.column(k).take(taken) for k in range(3)), pa.array(pre, pa.string()), pa.array(n, pa.int64())], names=schema.names)
+
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    return docs.select(F.col(key).alias("id"), F.col(_ROW).alias("row"), size.alias("n_bytes"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
+
+
+def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096, head: int = HEAD) -> DataFrame:
+    """Per row: ``key``, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
+    scratch = Scratch(docs.sparkSession, "token-counts")
+    docs = numbered(scratch, docs, _ROW)
+    pieces = scratch.save(dictionary(docs.select(F.col(text)), path), "dictionary")
+    first = scratch.save(pieces.orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces"), "head")
+    met = frequencies(docs, key, text).join(F.broadcast(first), "pre", "left")
+    # a row of what the head knows for each document (rest null), and a row for each key it doesn't know
+    rest = F.when(F.col("pieces").isNull(), F.col("pre")).alias("rest")
+    summed = scratch.save(met.groupBy("id", "row", "n_bytes", rest).agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n")), "summed")
+    tail = summed.filter("rest IS NOT NULL").join(pieces.select(F.col("pre").alias("rest"), "pieces"), "rest")
+    both = summed.filter("rest IS NULL").unionByName(tail.select("id", "row", "n_bytes", "rest", (F.col("n") * F.col("pieces")).alias("n")))
+    counted = both.groupBy("id", "row", "n_bytes").agg(F.sum("n").alias("n_tokens"))
+    scratch.keep_only(pieces, summed)
+    return counted.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

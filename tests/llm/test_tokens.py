@@ -4,6 +4,7 @@ import hashlib
 import random
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -129,3 +130,24 @@ def test_token_counts(docs_of):
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 100) for i, t in ROWS]
     assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, want))
     assert token_counts.count_tokens(docs_of(ROWS).limit(0), PIECES).count() == 0
+
+
+def test_token_counts_beyond_the_head(docs_of, monkeypatch):
+    """Most pre-tokens are joined by the shuffle, long ones by their digest, and tallies are handed on in parts."""
+    monkeypatch.setattr(token_counts, "_TALLY", 50)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    long = ["y" * 64, "y" * 63, "z" * 65, "é" * 90 + "a", hashlib.sha256(("▁" + "z" * 65).encode()).hexdigest()]
+    texts = [*samples(200), *long, *long, " ".join(long * 3), "▁▁" + "▁".join(long)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, t) for t in long] + [(None, None)]
+    want = sorted(str((i, len((t or "").encode()), n := len(library.encode(t or "")), n > 100)) for i, t in rows)
+    for head in (0, 3):
+        got = token_counts.count_tokens(docs_of(rows), PIECES, limit=100, head=head)
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_dictionary(docs_of):
+    """Each distinct pre-token once, with its frequency over all texts."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    tally = Counter(p for _, t in ROWS for p in token_counts.pre_tokens(t))
+    got = token_counts.dictionary(docs_of(ROWS).select("text"), PIECES).collect()
+    assert sorted((r["pre"], r["n"], r["pieces"]) for r in got) == sorted((token_counts.key_of(p), n, len(library.encode(p[1:])) or 1) for p, n in tally.items())
