@@ -1,16 +1,17 @@
 """Token counts from distinct pre-tokens, without ids.
 
-A text is cut into pre-tokens, pieces of text that no merge can cross. One pass
-tallies them; the pieces of each distinct pre-token are then counted once, in a
-dictionary table. A second pass gives the pre-token frequencies of each document,
-which are joined to the dictionary and summed; no ids are made.
-
-The most frequent keys of the dictionary (``head``, a fixed number of keys of 64
-characters at most) are broadcast, so nearly all frequencies are summed where they
-are made. Only the rest, of which no key has more than one in ``head`` of all
-pre-tokens, is shuffled to the whole dictionary. The plan is the same at every size.
-A pre-token of more than 64 characters has its SHA-256 as key, and is counted by
-each task that meets it, so that no long text is shuffled.
+A text is cut into pre-tokens, pieces of text that no merge can cross. The pieces
+of each distinct pre-token are counted once, joined to the pre-token frequencies of
+each document and summed; no ids are made.
+
+Frequent pre-tokens (the head) are found first, by summaries of a fixed size that
+each task makes of all its texts: whatever has more than two in ``summary`` of all
+pre-tokens is among them. Their counts, ``head`` keys of 64 characters at most, are
+broadcast, so most frequencies are summed where they are made. The rest is dealt and
+sorted by pre-token, so that each is counted once where its rows meet, and its counts
+go back to the documents' rows. Any head gives the same result, and the plan is the
+same at every size. A pre-token of more than 64 characters has its SHA-256 as key and
+is counted by each task that meets it, so no long text is shuffled.
 
 Defined results: a null text has no tokens and no bytes; an empty text the same;
 repeated rows (each has its own result), null keys, ties and extra columns change
@@ -23,7 +24,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +37,10 @@ from loomgraph.llm._worker import lean
 _MARK = "▁"  # stands for a space in pieces
 _PRE_TOKEN = re.compile(f"{_MARK}+[^{_MARK}]*")
 _LONGEST_KEY = 64
-#: Broadcast keys: 64 characters each at most.
-HEAD = 100_000
-#: Entries a task gathers before it hands them on.
-_TALLY = 100_000
+#: Keys of the head, and keys of the summary of one task.
+HEAD, SUMMARY = 200_000, 50_000
+#: Rows of one batch that a task hands on.
+_BATCH_ROWS = 100_000
 _ROW = "_loom_row"
 
 
@@ -83,77 +86,113 @@ def counter(path: str) -> PieceCounter:
     return _COUNTERS[path]
 
 
-def dictionary(texts: DataFrame, path: str) -> DataFrame:
-    """From a column of texts: each distinct key with its frequency and its number of pieces (columns pre, n, pieces)."""
-    spark = texts.sparkSession
-    ship(spark)
-    tallied = T.StructType([T.StructField("pre", T.StringType()), T.StructField("n", T.LongType()), T.StructField("pieces", T.LongType())])
+def _shrink(seen: Counter, size: int) -> Counter:
+    """The ``size`` most frequent keys, each less the next one's frequency: what is lost of any key is a ``size``-th of all at most."""
+    if len(seen) <= size:
+        return seen
+    top = seen.most_common(size + 1)
+    return Counter({p: n - top[-1][1] for p, n in top if n > top[-1][1]})
+
 
-    def entries(tally):
-        known = [None if len(p) <= _LONGEST_KEY else counter(path).pieces(p) for p in tally]
-        return pa.RecordBatch.from_arrays([pa.array(map(key_of, tally), pa.string()), pa.array(tally.values(), pa.int64()), pa.array(known, pa.int64())], names=tallied.names)
+def frequent(texts: DataFrame, path: str, head: int, summary: int) -> DataFrame:
+    """From a column of texts: ``head`` frequent keys at most, with their number of pieces (columns pre, pieces)."""
+    ship(texts.sparkSession)
+    schema = T.StructType([T.StructField("pre", T.StringType()), T.StructField("n", T.LongType()), T.StructField("pieces", T.LongType())])
 
-    def tally(batches):
+    def summarise(batches):
         seen = Counter()
         for b in batches:
             for t in b.column(0):
                 seen.update(pre_tokens(t.as_py()))
-                if len(seen) >= _TALLY:
-                    yield entries(seen)
-                    seen = Counter()
-        yield entries(seen)
+                if len(seen) > 4 * summary:
+                    seen = _shrink(seen, summary)
+        seen = _shrink(seen, summary)
+        known = [None if len(p) <= _LONGEST_KEY else counter(path).pieces(p) for p in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(map(key_of, seen), pa.string()), pa.array(seen.values(), pa.int64()), pa.array(known, pa.int64())], names=schema.names)
 
     def count(batches):
         c = counter(path)
         for b in batches:
             n = [c.pieces(p) if known is None else known for p, known in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=tallied.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=schema.names)
 
-    distinct = texts.mapInArrow(lean(tally), tallied).groupBy("pre").agg(F.sum("n").alias("n"), F.max("pieces").alias("pieces"))
-    return distinct.mapInArrow(lean(count), tallied)
+    met = texts.mapInArrow(lean(summarise), schema).groupBy("pre").agg(F.sum("n").alias("n"), F.max("pieces").alias("pieces"))
+    return met.orderBy(F.desc("n"), "pre").limit(head).repartition(16).mapInArrow(lean(count), schema).select("pre", "pieces")
 
 
-def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each row of numbered ``docs`` and distinct pre-token: id, row, n_bytes, pre, n. Without pre-tokens one row, pre null."""
-    ship(docs.sparkSession)
+def frequencies(docs: DataFrame, path: str, head: dict[str, int], key: str, text: str) -> DataFrame:
+    """Of each row of numbered ``docs``: id, row, n_bytes, known (tokens of the head's pre-tokens), rest (pre, n and, of long ones, pieces)."""
+    spark = docs.sparkSession
+    ship(spark)
+    rest = T.StructType([T.StructField("pre", T.StringType()), T.StructField("n", T.LongType()), T.StructField("pieces", T.LongType())])
     schema = T.StructType([
         T.StructField("id", docs.schema[key].dataType), T.StructField("row", T.LongType()), T.StructField("n_bytes", T.LongType()),
-        T.StructField("pre", T.StringType()), T.StructField("n", T.LongType()),
+        T.StructField("known", T.LongType()), T.StructField("rest", T.ArrayType(rest)),
     ])
+    shared = spark.sparkContext.broadcast(head)
+
+    def batch(b, start, known, ends, pre, n, long):
+        entries = pa.StructArray.from_arrays([pa.array(pre, pa.string()), pa.array(n, pa.int64()), pa.array(long, pa.int64())], names=rest.names)
+        part = b.slice(start, len(known))
+        return pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(known, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=schema.names)
 
     def run(batches):
+        counts = shared.value
         for b in batches:
-            at, pre, n = [], [], []
-            for i, t in enumerate(b.column(3)):
-                seen = Counter(pre_tokens(t.as_py())) or {None: 0}
-                at += [i] * len(seen)
-                pre += [p if p is None or len(p) <= _LONGEST_KEY else key_of(p) for p in seen]
-                n += seen.values()
-                if len(at) >= _TALLY:
-                    yield rows(b, at, pre, n)
-                    at, pre, n = [], [], []
-            yield rows(b, at, pre, n)
-
-    def rows(b, at, pre, n):
-        taken = pa.array(at, pa.int32())
-        return pa.RecordBatch.from_arrays([*(b.column(k).take(taken) for k in range(3)), pa.array(pre, pa.string()), pa.array(n, pa.int64())], names=schema.names)
+            start, known, ends, pre, n, long = 0, [], [0], [], [], []
+            for t in b.column(3):
+                total = 0
+                for p, k in Counter(pre_tokens(t.as_py())).items():
+                    name = p if len(p) <= _LONGEST_KEY else key_of(p)
+                    found = counts.get(name)
+                    if found is None:
+                        pre.append(name)
+                        n.append(k)
+                        long.append(counter(path).pieces(p) if name is not p else None)
+                    else:
+                        total += k * found
+                known.append(total)
+                ends.append(len(pre))
+                if len(pre) >= _BATCH_ROWS:
+                    yield batch(b, start, known, ends, pre, n, long)
+                    start, known, ends, pre, n, long = start + len(known), [], [0], [], [], []
+            yield batch(b, start, known, ends, pre, n, long)
 
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
     return docs.select(F.col(key).alias("id"), F.col(_ROW).alias("row"), size.alias("n_bytes"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
 
 
-def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096, head: int = HEAD) -> DataFrame:
+def counted_once(rest: DataFrame, path: str) -> DataFrame:
+    """From row, pre, n, pieces (of long ones): row and n_tokens of each entry, every distinct pre counted once."""
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches):
+        c, last, of_last = counter(path), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            runs = pc.run_end_encode(b.column(1))
+            ends = runs.run_ends.to_numpy()
+            starts = np.append(0, ends[:-1])
+            pieces = []
+            for p, known in zip(runs.values.to_pylist(), b.column(3).take(pa.array(starts)).to_pylist()):
+                if p != last:
+                    last, of_last = p, c.pieces(p) if known is None else known
+                pieces.append(of_last)
+            n = b.column(2).to_numpy() * np.repeat(np.array(pieces, np.int64), ends - starts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=schema.names)
+
+    return rest.repartition("pre").sortWithinPartitions("pre").mapInArrow(lean(run), schema)
+
+
+def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096, head: int = HEAD, summary: int = SUMMARY) -> DataFrame:
     """Per row: ``key``, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
-    scratch = Scratch(docs.sparkSession, "token-counts")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "token-counts")
     docs = numbered(scratch, docs, _ROW)
-    pieces = scratch.save(dictionary(docs.select(F.col(text)), path), "dictionary")
-    first = scratch.save(pieces.orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces"), "head")
-    met = frequencies(docs, key, text).join(F.broadcast(first), "pre", "left")
-    # a row of what the head knows for each document (rest null), and a row for each key it doesn't know
-    rest = F.when(F.col("pieces").isNull(), F.col("pre")).alias("rest")
-    summed = scratch.save(met.groupBy("id", "row", "n_bytes", rest).agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n")), "summed")
-    tail = summed.filter("rest IS NOT NULL").join(pieces.select(F.col("pre").alias("rest"), "pieces"), "rest")
-    both = summed.filter("rest IS NULL").unionByName(tail.select("id", "row", "n_bytes", "rest", (F.col("n") * F.col("pieces")).alias("n")))
-    counted = both.groupBy("id", "row", "n_bytes").agg(F.sum("n").alias("n_tokens"))
-    scratch.keep_only(pieces, summed)
-    return counted.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    first = {r["pre"]: r["pieces"] for r in frequent(docs.select(F.col(text)), path, head, summary).collect()}
+    summed = scratch.save(frequencies(docs, path, first, key, text), "summed")
+    rest = counted_once(summed.select("row", F.explode("rest").alias("e")).select("row", "e.pre", "e.n", "e.pieces"), path)
+    counted = summed.select("id", "row", "n_bytes", "known").join(rest.groupBy("row").agg(F.sum("n_tokens").alias("rest")), "row", "left")
+    n = F.col("known") + F.coalesce("rest", F.lit(0))
+    return counted.select(F.col("id").alias(key), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

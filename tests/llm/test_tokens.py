@@ -133,21 +133,41 @@ def test_token_counts(docs_of):
 
 
 def test_token_counts_beyond_the_head(docs_of, monkeypatch):
-    """Most pre-tokens are joined by the shuffle, long ones by their digest, and tallies are handed on in parts."""
-    monkeypatch.setattr(token_counts, "_TALLY", 50)
+    """Most pre-tokens are counted after the shuffle, long ones have digests, and batches are handed on in parts."""
+    monkeypatch.setattr(token_counts, "_BATCH_ROWS", 50)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     long = ["y" * 64, "y" * 63, "z" * 65, "é" * 90 + "a", hashlib.sha256(("▁" + "z" * 65).encode()).hexdigest()]
     texts = [*samples(200), *long, *long, " ".join(long * 3), "▁▁" + "▁".join(long)]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, t) for t in long] + [(None, None)]
     want = sorted(str((i, len((t or "").encode()), n := len(library.encode(t or "")), n > 100)) for i, t in rows)
     for head in (0, 3):
-        got = token_counts.count_tokens(docs_of(rows), PIECES, limit=100, head=head)
+        got = token_counts.count_tokens(docs_of(rows), PIECES, limit=100, head=head, summary=8)
         assert sorted(str(tuple(r)) for r in got.collect()) == want
 
 
-def test_dictionary(docs_of):
-    """Each distinct pre-token once, with its frequency over all texts."""
+def test_frequent(docs_of):
+    """Whatever has more than two in ``summary`` of all pre-tokens is found, with its pieces."""
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    tally = Counter(p for _, t in ROWS for p in token_counts.pre_tokens(t))
-    got = token_counts.dictionary(docs_of(ROWS).select("text"), PIECES).collect()
-    assert sorted((r["pre"], r["n"], r["pieces"]) for r in got) == sorted((token_counts.key_of(p), n, len(library.encode(p[1:])) or 1) for p, n in tally.items())
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{min(int(r.paretovariate(0.7)), 5000)}" for _ in range(100))) for i in range(300)] + ROWS
+    tally = Counter(p for _, t in rows for p in token_counts.pre_tokens(t))
+    for head, summary in ((1000, 40), (40, 40), (100_000, 10_000)):
+        got = {r["pre"]: r["pieces"] for r in token_counts.frequent(docs_of(rows).select("text"), PIECES, head, summary).collect()}
+        must = {token_counts.key_of(p) for p, n in tally.items() if n * summary > 2 * sum(tally.values())}
+        assert must
+        assert must <= set(got) and len(got) <= head
+        want = {token_counts.key_of(p): len(library.encode(p[1:])) or 1 for p in tally}
+        assert all(want[p] == n for p, n in got.items())
+    assert set(got) == set(want)
+
+
+def test_counted_once(spark):
+    """Entries of one pre-token, over several Arrow batches, have the same count."""
+    rows = [(i, f"▁word{i % 7}" if i % 8 else "0" * 64, i % 3 + 1, None if i % 8 else 9) for i in range(100)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = token_counts.counted_once(spark.createDataFrame(rows, "row long, pre string, n long, pieces long"), PIECES).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == [(i, n * (k or len(library.encode(p[1:])))) for i, p, n, k in rows]
