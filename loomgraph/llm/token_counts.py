@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from loomgraph.llm._worker import lean
 _MARK = "▁"  # stands for a space in pieces
 _PRE_TOKEN = re.compile(f"{_MARK}+[^{_MARK}]*")
 _LONGEST_KEY = 64
+_AT_ONCE = 1 << 20
 #: Keys of the head, and keys of the summary of one task.
 HEAD, SUMMARY = 200_000, 50_000
 #: Rows of one batch that a task hands on.
@@ -44,8 +46,12 @@ _BATCH_ROWS = 100_000
 _ROW = "_loom_row"
 
 
-def pre_tokens(text: str | None) -> list[str]:
-    return _PRE_TOKEN.findall(_MARK + text.replace(" ", _MARK)) if text else []
+def pre_tokens(text: str | None) -> Iterable[str]:
+    """The pre-tokens of a text; those of a long one are made one at a time."""
+    if not text:
+        return []
+    marked = _MARK + text.replace(" ", _MARK)
+    return _PRE_TOKEN.findall(marked) if len(text) <= _AT_ONCE else (m[0] for m in _PRE_TOKEN.finditer(marked))
 
 
 def key_of(pre_token: str) -> str:

@@ -135,6 +135,7 @@ def test_token_counts(docs_of):
 def test_token_counts_beyond_the_head(docs_of, monkeypatch):
     """Most pre-tokens are counted after the shuffle, long ones have digests, and batches are handed on in parts."""
     monkeypatch.setattr(token_counts, "_BATCH_ROWS", 50)
+    monkeypatch.setattr(token_counts, "_AT_ONCE", 40)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     long = ["y" * 64, "y" * 63, "z" * 65, "é" * 90 + "a", hashlib.sha256(("▁" + "z" * 65).encode()).hexdigest()]
     texts = [*samples(200), *long, *long, " ".join(long * 3), "▁▁" + "▁".join(long)]
