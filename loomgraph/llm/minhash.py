@@ -51,6 +51,14 @@ _BAND_ROUNDS = (4, 40)
 _COUNTERS = 1 << 18
 #: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
 _BROADCAST_KEYS = 1_000_000
+#: Up to so many rows of a few numbers are broadcast.
+_BROADCAST_ROWS = 100_000
+#: Up to so many links of a round are joined into components on the driver (16 bytes each).
+_DRIVER_LINKS = 100_000
+#: In each round over rare shingles a bucket has so many times the pivots of the last.
+_MORE_PIVOTS = 32
+#: Tasks for each core that count shingles: each sends a table of counters.
+_COUNT_TASKS = 4
 
 
 def _min_max(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +143,11 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)
 
 
+def _if_few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (a written table, or columns of one) marked for a broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key of the component), kept (key = component_id).
 
@@ -156,7 +169,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         if docs.schema[key].dataType in (T.IntegerType(), T.LongType()) and involved.count() <= _BROADCAST_KEYS:
             reps = F.broadcast(reps)
         texts = docs.join(reps, F.col(key).eqNullSafe(F.col("_rep")), "left_semi").select(F.col(key), F.col(text))
-        full = shingle_sets(texts, key, text, width).drop("key").join(involved.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"])
+        full = shingle_sets(texts, key, text, width).drop("key").join(_if_few(involved.select("cid", "n", "k1", "k2"), _BROADCAST_ROWS), ["n", "k1", "k2"])
         sets = scratch.save(full.select("cid", "items"), "sets")
         linked = _link(scratch, members, sets, percent)
 
@@ -187,15 +200,15 @@ def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
         if comp is None:
             placed = members.withColumn("comp", F.col("cid"))
         else:
-            placed = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            placed = members.join(_if_few(comp.withColumnRenamed("node", "cid"), _BROADCAST_ROWS), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         placed = scratch.save(placed, "placed")
         mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).filter("lo < hi AND any").select("bucket")
         live = scratch.save(placed.join(mixed, "bucket", "left_semi"), "live")
         if turn >= len(_BAND_ROUNDS) and live.isEmpty():
             return comp
         if turn == len(_BAND_ROUNDS):
-            left = live.select("cid").distinct()
-            members, turn = scratch.save(_rare_buckets(sets.join(left, "cid", "left_semi"), percent), "rare"), turn + 1
+            left = _if_few(scratch.save(live.select("cid").distinct(), "left"), _BROADCAST_KEYS)
+            members, turn = scratch.save(_rare_buckets(scratch, sets.join(left, "cid", "left_semi"), percent), "rare"), turn + 1
             continue
         part = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(pivots_wanted))
         chosen = live.filter("short").groupBy("bucket", part.alias("part")).agg(F.min(F.struct("n", "cid", "comp", "pos")).alias("p"))
@@ -209,17 +222,19 @@ def _link(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
         asked = pairs if asked is None else asked.union(pairs)
-        if not pairs.isEmpty():
+        if asks := pairs.count():
             left, right = sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
-            both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+            if asks <= _BROADCAST_ROWS:  # only sets that are asked for move
+                right = right.join(F.broadcast(pairs.select("b")), "b", "left_semi")
+            both = left.join(_if_few(pairs, _BROADCAST_ROWS), "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
             links = both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
             comp = _merge(scratch, comp, scratch.save(links, "links"))
         rest = live.select("bucket", "cid", "n", "pos", "short", "band").join(pivots.select("bucket", F.col("pivot").alias("cid")), ["bucket", "cid"], "left_anti")
         members = scratch.save(rest if turn + 1 >= len(_BAND_ROUNDS) else rest.unionByName(later.select(*rest.columns)), "members")
-        pivots_wanted, turn = pivots_wanted * 4 if turn > len(_BAND_ROUNDS) else 1, turn + 1
+        pivots_wanted, turn = pivots_wanted * _MORE_PIVOTS if turn > len(_BAND_ROUNDS) else 1, turn + 1
 
 
-def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
+def _rare_buckets(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     """Buckets (bucket, cid, n, pos, short, band): each set's rarest shingles, as many as a link to any set needs, and their places."""
     shift = np.uint64(64 - 18)
     slot = lambda items: (items.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) >> shift).astype(np.int64)
@@ -228,7 +243,9 @@ def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
         items = batch.column(1).flatten().to_numpy()
         counters += np.bincount(slot(items), minlength=_COUNTERS)
 
-    common = sets.sparkSession.sparkContext.broadcast(summed(sets.select("cid", "items"), _COUNTERS, count).astype(np.int32))
+    context = sets.sparkSession.sparkContext
+    few = sets.select("cid", "items").coalesce(_COUNT_TASKS * context.defaultParallelism)
+    common = context.broadcast(summed(few, _COUNTERS, count).astype(np.int32))
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("short", T.BooleanType())])
 
     def run(batches):
@@ -246,21 +263,23 @@ def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
             place = np.concatenate([*map(np.arange, wide), np.zeros(0, np.int64)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)])), pa.array(np.repeat(cids, wide)), pa.array(np.repeat(size, wide)), pa.array(place), pa.array(np.concatenate([*short, np.zeros(0, bool)]))], names=schema.names)
 
-    each = sets.select("cid", "items").mapInArrow(lean(run), schema)
+    each = scratch.save(sets.select("cid", "items").mapInArrow(lean(run), schema), "each")
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("short").alias("any")).filter("m > 1 AND any").select("bucket")
     return each.join(shared, "bucket").withColumn("band", F.lit(0))
 
 
 def _merge(scratch: Scratch, comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """Components after ``links`` are added to those of ``comp``."""
-    if comp is None:
-        return components(scratch, links)
-    at = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
+    n = links.count()
+    if comp is None or not n:
+        return components(scratch, links, n, _DRIVER_LINKS) if n else comp
+    at = lambda side: _if_few(comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")), _BROADCAST_ROWS)
     moved = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    more = components(scratch, moved)
+    more = components(scratch, moved, n, _DRIVER_LINKS)
     if more is None:
         return comp
-    seen = comp.select("node").union(links.select(F.col("a").alias("node"))).union(links.select(F.col("b").alias("node"))).distinct()
-    known = seen.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    step = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return scratch.save(known.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comp")
+    # nodes of ``more`` are components so far, each named by one of its nodes, or nodes that are new
+    step = _if_few(more.select(F.col("node").alias("comp"), F.col("comp").alias("to")), _BROADCAST_ROWS)
+    known = comp.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = more.join(_if_few(comp.select("node"), _BROADCAST_KEYS), "node", "left_anti")
+    return scratch.save(known.unionByName(new.select("node", "comp")), "comp")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import flatgraph, linededup, minhash, oracles
+from loomgraph.llm._components import components
 from loomgraph.llm._scratch import Scratch, numbered
 from odd import ROWS
 
@@ -81,6 +82,56 @@ def test_minhash_rare_buckets(spark, docs_of, monkeypatch):
     assert sorted(str((r[0], r[1], r[2], r[0] == r[2])) for r in minhash.near_duplicates(spark, docs_of(rows)).collect()) == brute_minhash(rows)
 
 
+@pytest.mark.parametrize("most", [0, 5])
+def test_minhash_large(spark, docs_of, monkeypatch, most):
+    """Tables too large for a broadcast or for the driver take the other way to the same result."""
+    for name in ("_BROADCAST_KEYS", "_BROADCAST_ROWS", "_DRIVER_LINKS"):
+        monkeypatch.setattr(minhash, name, most)
+    rows = near_copies(4, 100)
+    assert sorted(str((r[0], r[1], r[2], r[0] == r[2])) for r in minhash.near_duplicates(spark, docs_of(rows)).collect()) == brute_minhash(rows)
+
+
+def test_minhash_work(spark, docs_of, monkeypatch):
+    """Few tables are written, also for long chains of links, and sets that no pair asks for aren't shuffled."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (saved.append(name), save(self, df, name))[1])
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(300)]
+    rows = [(i, " ".join(passage + [word() for _ in range(150 + r.randrange(60))])) for i in range(60)]
+    rows += [(1000 + 2 * i + k, t + " x" * k) for i, t in enumerate(" ".join(word() for _ in range(800)) for _ in range(60)) for k in (0, 1)]
+    chain = [word() for _ in range(500)]
+    rows += [(2000 + i, " ".join(chain[4 * i : 4 * i + 80])) for i in range(100)]
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).head().totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = sorted(str((r[0], r[1], r[2], r[0] == r[2])) for r in minhash.near_duplicates(spark, docs_of(rows)).collect())
+        moved = shuffled() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute_minhash(rows)
+    assert moved < 4_000_000
+    assert len(saved) < 40
+
+
+@pytest.mark.parametrize("small", [0, 6, 1000])
+def test_components(spark, small):
+    r = random.Random(small)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(x, x + 1) for x in range(300, 400)] + [(7, 7)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    for n in (None, len(links)):
+        got = {x.node: x.comp for x in components(Scratch(spark, "test"), edges, n, small).collect()}
+        root = roots(401, links)
+        assert set(got) == {x for a, b in links if a != b for x in (a, b)}
+        assert len(set(got.values())) == len({root[x] for x in got}) == len({(root[x], y) for x, y in got.items()})
+
+
 def test_minhash_empty(spark, docs_of):
     assert minhash.near_duplicates(spark, docs_of([]).limit(0)).count() == 0
     assert [tuple(r) for r in minhash.near_duplicates(spark, docs_of([(1, None)])).collect()] == [(1, 0, 1, True)]
