@@ -56,7 +56,7 @@ _BROADCAST_ROWS = 100_000
 #: Up to so many links of a round are joined into components on the driver (16 bytes each).
 _DRIVER_LINKS = 100_000
 #: In each round over rare shingles a bucket has so many times the pivots of the last.
-_MORE_PIVOTS = 32
+_MORE_PIVOTS = 4
 #: Tasks for each core that count shingles: each sends a table of counters.
 _COUNT_TASKS = 4
 
